@@ -26,15 +26,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and read it back from there.
+    """``df``, evaluated once for all its readers.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Where it is unset there
-    is no shared place to write to, so the plan is returned as it is.
+    Written to the checkpoint folder of the session (``spark.checkpoint.dir``, shared
+    storage on a cluster), which outlives lost executors. Where that is unset the rows are
+    persisted: lost ones are computed again from their lineage.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            return df
+            return df.persist()
         sc.setCheckpointDir(folder)
     return df.checkpoint()

@@ -13,6 +13,8 @@ shuffled, and the text leaves the plan before the first exchange.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from corpuslens.functions.text import (
     source_lines,
     trim_space,
 )
+from corpuslens.operators.metrics import CYCLOMATIC_LIMIT, LOC_LIMIT, cyclomatic, high_complexity
+from corpuslens.operators.scans import text_findings
 
 SPAN = "struct<idx:int,line:bigint,off:bigint,end_line:bigint,is_type:boolean,owner:int>"
 BLOCK = "struct<idx:int,line:bigint,off:bigint,is_type:boolean,owner:int>"
@@ -288,8 +292,22 @@ def _describe(spans: Column, chunks: Column, lines: Column) -> Column:
     return F.transform(F.transform(F.transform(spans, cut), clean), part)
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """files(repo, file_ord, file_path, source) to one row per file with its declarations."""
+def parse_files(
+    files: DataFrame,
+    docs: bool = False,
+    metrics: bool = False,
+    findings: bool = False,
+    cyclomatic_limit: int = CYCLOMATIC_LIMIT,
+    loc_limit: int = LOC_LIMIT,
+) -> DataFrame:
+    """files(repo, file_ord, file_path, source) to one row of facts per file, without the text.
+
+    Columns: repo, file_ord, file_path, problem, package, imports, types. Each type holds
+    its methods. ``docs``, ``metrics`` and ``findings`` add doc comments, method metrics
+    and rule findings; what is not asked for is not computed. The tables below are read
+    off this frame; where several are needed, make it ``durable`` first, so that the texts
+    are read once.
+    """
     chunked = computed_once(
         files,
         chunks=F.regexp_extract_all("source", F.lit(P.CHUNK), F.lit(0)),
@@ -322,12 +340,18 @@ def parse_files(files: DataFrame) -> DataFrame:
         header=header_text,
         decls=_describe(F.col("fold.spans"), F.col("chunks"), F.col("lines")),
     )
-    return described.select(
+    sound = F.col("problem").isNull()
+    no_decls = F.slice("decls", 1, 0)
+    ordered = computed_once(
+        described,
+        ordered=_ordered_types(F.when(sound, F.col("decls")).otherwise(no_decls)),
+        docs=_doc_comments(F.col("source")) if docs else F.lit(None),
+    )
+    wanted = _Wanted(docs, metrics, findings, cyclomatic_limit, loc_limit)
+    return ordered.select(
         "repo",
         "file_ord",
         "file_path",
-        "source",
-        "lines",
         "problem",
         F.coalesce(
             F.get(
@@ -343,7 +367,97 @@ def parse_files(files: DataFrame) -> DataFrame:
             F.transform("header", lambda c: F.regexp_extract(c, name.format("import"), 1)),
             lambda n: n != "",
         ).alias("imports"),
+        F.transform("ordered", lambda t, i: _type_facts(t, i, wanted)).alias("types"),
+    )
+
+
+@dataclass(frozen=True)
+class _Wanted:
+    docs: bool
+    metrics: bool
+    findings: bool
+    cyclomatic_limit: int
+    loc_limit: int
+
+
+def _type_facts(t: Column, i: Column, wanted: _Wanted) -> Column:
+    fields = [
+        (F.shiftleft(F.col("file_ord"), ORD_BITS) + i).alias("type_ord"),
+        t["name"].alias("class_name"),
+        t["kind"].alias("kind"),
+        t["annotations"].alias("annotations"),
+        class_role(F.col("file_path"), t["annotations"]).alias("class_type"),
+        t["start_line"].alias("start_line"),
+        t["end_line"].alias("end_line"),
+        _method_facts(t, wanted).alias("methods"),
+    ]
+    if wanted.docs:
+        # The first place that looks like the declaration anchors its doc comment.
+        anchor = F.concat(F.lit(r"(?U)\b(?:class|interface|enum)\s+\Q"), t["name"], F.lit(r"\E\b"))
+        offset = F.greatest(F.regexp_instr("source", anchor) - 1, F.lit(0)).cast("bigint")
+        fields.append(
+            let(offset, lambda at: doc_before(F.col("source"), F.col("docs"), at)).alias("javadoc")
+        )
+    if wanted.findings:
+        body = line_span(F.col("lines"), t["start_line"], t["end_line"])
+        fields.append(
+            let(body, lambda text: text_findings(text, t["start_line"])).alias("findings")
+        )
+    return F.struct(*fields)
+
+
+def _method_facts(t: Column, wanted: _Wanted) -> Column:
+    """Constructors, then methods, of a type in source order."""
+    mine = F.filter(
         "decls",
+        lambda d: (~d["is_type"])
+        & (d["owner"] == t["idx"])
+        & (d["name"] != "")
+        & ((d["type_name"] != "") | (d["name"] == t["name"])),
+    )
+    keyed = F.array_sort(
+        F.transform(
+            mine,
+            lambda d: F.struct((d["type_name"] != "").alias("k"), d["idx"].alias("i"), d.alias("d")),
+        )
+    )
+
+    def fields(d: Column, parameters: Column, j: Column) -> Column:
+        returned = F.when(d["type_name"] == "", F.lit("void")).otherwise(d["type_name"])
+        out = [
+            j.cast("bigint").alias("method_ord"),
+            d["name"].alias("name"),
+            F.concat(
+                returned, F.lit(" "), d["name"], F.lit("("), F.array_join(parameters, ", "), F.lit(")")
+            ).alias("signature"),
+            returned.alias("return_type"),
+            parameters.alias("parameters"),
+            d["modifiers"].alias("modifiers"),
+            d["annotations"].alias("annotations"),
+            d["start_line"].alias("start_line"),
+            d["end_line"].alias("end_line"),
+        ]
+        if wanted.docs:
+            out.append(doc_before(F.col("source"), F.col("docs"), d["start_off"]).alias("javadoc"))
+        if wanted.metrics:
+            loc = (d["end_line"] - d["start_line"] + 1).alias("loc")
+            paths = cyclomatic(line_span(F.col("lines"), d["start_line"], d["end_line"]))
+            return let(
+                paths,
+                lambda p: F.struct(
+                    *out,
+                    loc,
+                    p.alias("cyclomatic"),
+                    high_complexity(p, loc, wanted.cyclomatic_limit, wanted.loc_limit).alias(
+                        "high_complexity"
+                    ),
+                ),
+            )
+        return F.struct(*out)
+
+    return F.transform(
+        keyed,
+        lambda s, j: let(_parameters(s["d"]["params"]), lambda p: fields(s["d"], p, j)),
     )
 
 
@@ -357,10 +471,6 @@ def file_errors(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _good(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("problem").isNull())
-
-
 # Fixed value: order in which the three declaration kinds are listed.
 _KIND_RANK = {"class": 0, "interface": 1, "enum": 2}
 
@@ -381,100 +491,61 @@ def _ordered_types(decls: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["d"])
 
 
-def type_table(parsed: DataFrame, with_body: bool = False) -> DataFrame:
-    """One row per class, interface and enum; ``with_body`` adds the type's text."""
-    types = computed_once(
-        _good(parsed), types=_ordered_types(F.col("decls")), docs=_doc_comments(F.col("source"))
-    )
-    pattern = lambda name: F.concat(
-        F.lit(r"(?U)\b(?:class|interface|enum)\s+\Q"), name, F.lit(r"\E\b")
+def _typed(parsed: DataFrame, *extra: str) -> DataFrame:
+    """One row per type with all its facts."""
+    return parsed.select("repo", "file_path", *extra, F.explode("types").alias("t"))
+
+
+def type_table(parsed: DataFrame) -> DataFrame:
+    """One row per class, interface and enum, with the number of its (heavy) methods."""
+    rows = _typed(parsed, "package")
+    members = rows.schema["t"].dataType["methods"].dataType.elementType.names
+    heavy = (
+        [F.size(F.filter("t.methods", lambda m: m["high_complexity"])).cast("bigint").alias("heavy_methods")]
+        if "high_complexity" in members
+        else []
     )
-    lines = F.col("lines")
-    rows = F.transform(
-        "types",
-        lambda t, i: F.struct(
-            (F.shiftleft(F.col("file_ord"), ORD_BITS) + i).alias("type_ord"),
-            t["name"].alias("class_name"),
-            t["kind"].alias("kind"),
-            t["annotations"].alias("annotations"),
-            class_role(F.col("file_path"), t["annotations"]).alias("class_type"),
-            doc_before(
-                F.col("source"),
-                F.col("docs"),
-                F.greatest(
-                    F.regexp_instr("source", pattern(t["name"])) - 1, F.lit(0)
-                ).cast("bigint"),
-            ).alias("javadoc"),
-            t["start_line"].alias("start_line"),
-            t["end_line"].alias("end_line"),
-            *([line_span(lines, t["start_line"], t["end_line"]).alias("body")] if with_body else []),
-        ),
+    lists = ("methods", "findings")
+    plain = [f"t.{name}" for name in rows.schema["t"].dataType.names if name not in lists]
+    return rows.select(
+        "repo", "file_path", "package", *plain, F.size("t.methods").cast("bigint").alias("n_methods"), *heavy
     )
-    return types.select("repo", "file_path", "package", F.inline(rows))
 
 
-def method_table(parsed: DataFrame, with_body: bool = False) -> DataFrame:
-    """One row per constructor and method of each type (constructors first)."""
-    types = computed_once(
-        _good(parsed), types=_ordered_types(F.col("decls")), docs=_doc_comments(F.col("source"))
+def method_table(parsed: DataFrame) -> DataFrame:
+    """One row per constructor and method of each type."""
+    return _typed(parsed).select(
+        "repo",
+        "file_path",
+        F.col("t.type_ord").alias("type_ord"),
+        F.col("t.class_name").alias("class_name"),
+        F.inline("t.methods"),
     )
-    lines = F.col("lines")
-
-    def member(t: Column, i: Column) -> Column:
-        mine = F.filter(
-            "decls",
-            lambda d: (~d["is_type"])
-            & (d["owner"] == t["idx"])
-            & (d["name"] != "")
-            & ((d["type_name"] != "") | (d["name"] == t["name"])),
-        )
-        keyed = F.array_sort(
-            F.transform(
-                mine,
-                lambda d: F.struct((d["type_name"] != "").alias("k"), d["idx"].alias("i"), d.alias("d")),
-            )
-        )
-
-        def row(s: Column, j: Column) -> Column:
-            return let(_parameters(s["d"]["params"]), lambda parameters: fields(s["d"], parameters, j))
-
-        def fields(d: Column, parameters: Column, j: Column) -> Column:
-            returned = F.when(d["type_name"] == "", F.lit("void")).otherwise(d["type_name"])
-            return F.struct(
-                (F.shiftleft(F.col("file_ord"), ORD_BITS) + i).alias("type_ord"),
-                j.cast("bigint").alias("method_ord"),
-                t["name"].alias("class_name"),
-                d["name"].alias("name"),
-                F.concat(
-                    returned, F.lit(" "), d["name"], F.lit("("), F.array_join(parameters, ", "), F.lit(")")
-                ).alias("signature"),
-                returned.alias("return_type"),
-                parameters.alias("parameters"),
-                d["modifiers"].alias("modifiers"),
-                d["annotations"].alias("annotations"),
-                doc_before(F.col("source"), F.col("docs"), d["start_off"]).alias("javadoc"),
-                d["start_line"].alias("start_line"),
-                d["end_line"].alias("end_line"),
-                *([line_span(lines, d["start_line"], d["end_line"]).alias("body")] if with_body else []),
-            )
 
-        return F.transform(keyed, row)
 
-    rows = F.flatten(F.transform("types", member))
-    return types.select("repo", "file_path", F.inline(rows))
+def finding_table(parsed: DataFrame) -> DataFrame:
+    """One row per finding of each type, in rule order; needs ``findings``."""
+    return (
+        _typed(parsed)
+        .select(
+            "repo",
+            "file_path",
+            F.col("t.type_ord").alias("type_ord"),
+            F.col("t.class_name").alias("class_name"),
+            F.posexplode("t.findings").alias("finding_ord", "f"),
+        )
+        .select("repo", "file_path", "type_ord", "class_name", "finding_ord", "f.*")
+    )
 
 
 def import_table(parsed: DataFrame) -> DataFrame:
     """Imports of each type: every type of a file has all imports of the file."""
-    types = computed_once(_good(parsed), types=_ordered_types(F.col("decls")), paths=F.col("imports"))
-    names = F.transform(
-        "types",
-        lambda t, i: F.struct(
-            (F.shiftleft(F.col("file_ord"), ORD_BITS) + i).alias("type_ord"), t["name"].alias("class_name")
-        ),
-    )
-    return types.select("repo", "file_path", "paths", F.inline(names)).select(
-        "repo", "type_ord", "file_path", "class_name", F.explode("paths").alias("import_path")
+    return _typed(parsed, "imports").select(
+        "repo",
+        F.col("t.type_ord").alias("type_ord"),
+        "file_path",
+        F.col("t.class_name").alias("class_name"),
+        F.explode("imports").alias("import_path"),
     )
 
 
@@ -602,6 +673,7 @@ __all__ = [
     "class_role",
     "doc_before",
     "file_errors",
+    "finding_table",
     "import_table",
     "method_table",
     "parse_files",

@@ -18,16 +18,22 @@ def cyclomatic(text: Column) -> Column:
     return (F.lit(1) + F.regexp_count(mask_code(text), F.lit(P.BRANCH))).cast("bigint")
 
 
+def high_complexity(
+    paths: Column, loc: Column, cyclomatic_limit: int = CYCLOMATIC_LIMIT, loc_limit: int = LOC_LIMIT
+) -> Column:
+    return (paths > cyclomatic_limit) | (loc > loc_limit)
+
+
 def method_metrics(
     methods: DataFrame, cyclomatic_limit: int = CYCLOMATIC_LIMIT, loc_limit: int = LOC_LIMIT
 ) -> DataFrame:
-    """Methods with ``body`` to methods with loc, cyclomatic, high_complexity; drops the text."""
+    """Methods with start_line, end_line and ``body`` to methods with metrics; drops the text."""
     return (
         methods.withColumn("loc", F.col("end_line") - F.col("start_line") + 1)
         .withColumn("cyclomatic", cyclomatic(F.col("body")))
         .drop("body")
         .withColumn(
             "high_complexity",
-            (F.col("cyclomatic") > cyclomatic_limit) | (F.col("loc") > loc_limit),
+            high_complexity(F.col("cyclomatic"), F.col("loc"), cyclomatic_limit, loc_limit),
         )
     )

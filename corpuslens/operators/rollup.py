@@ -125,32 +125,23 @@ def complex_methods(methods: DataFrame) -> DataFrame:
     )
 
 
-def _last_by_name(types: DataFrame, names: DataFrame) -> DataFrame:
+def _last_by_name(types: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
     """Of the types carrying one of few names, the last of each name."""
     return (
-        types.select("repo", "class_name", "type_ord", "file_path")
+        types.select("repo", "class_name", "type_ord", *columns)
         .join(names.select("repo", "class_name").distinct(), ["repo", "class_name"], "left_semi")
         .groupBy("repo", "class_name")
-        .agg(F.max("type_ord").alias("type_ord"), F.max_by("file_path", "type_ord").alias("file_path"))
+        .agg(*[F.max_by(c, "type_ord").alias(c) for c in columns])
     )
 
 
-def hotspot_detail(
-    ranked: DataFrame, types: DataFrame, methods: DataFrame, churn: DataFrame
-) -> DataFrame:
+def hotspot_detail(ranked: DataFrame, types: DataFrame, churn: DataFrame) -> DataFrame:
     """Text of each ranked name, taken from the last type that carries it."""
     names = ranked.select("repo", "rank", "class_name")
-    chosen = _last_by_name(types, names)
-    heavy = (
-        methods.filter("high_complexity")
-        .join(chosen.select("repo", "type_ord"), ["repo", "type_ord"], "left_semi")
-        .groupBy("repo", "type_ord")
-        .agg(F.count("*").alias("_heavy"))
-    )
+    chosen = _last_by_name(types, names, "file_path", "heavy_methods")
     return (
         names.join(chosen, ["repo", "class_name"])
         .join(churn, ["repo", "file_path"])
-        .join(heavy, ["repo", "type_ord"], "left")
         .select(
             "repo",
             "rank",
@@ -161,7 +152,7 @@ def hotspot_detail(
                 F.lit(" commit(s) · last modified "),
                 F.coalesce("last_modified", F.lit("unknown")),
                 F.lit(" · "),
-                F.coalesce("_heavy", F.lit(0)).cast("string"),
+                F.col("heavy_methods").cast("string"),
                 F.lit(" high-complexity method(s)"),
             ).alias("text"),
         )
@@ -169,7 +160,7 @@ def hotspot_detail(
 
 
 def relied_upon_detail(fan_in: DataFrame, types: DataFrame) -> DataFrame:
-    chosen = _last_by_name(types, fan_in).select("repo", "class_name", "file_path")
+    chosen = _last_by_name(types, fan_in, "file_path")
     return fan_in.join(chosen, ["repo", "class_name"], "left").select(
         "repo",
         "rank",
@@ -244,19 +235,17 @@ def hit_rate_pct(made: Column, cached: Column) -> Column:
     return F.when(total > 0, F.bround(F.lit(100) * cached / total, 1)).otherwise(F.lit(0.0))
 
 
-def dashboard_totals(
-    metadata: DataFrame, types: DataFrame, methods: DataFrame, endpoints: DataFrame
-) -> DataFrame:
+def dashboard_totals(metadata: DataFrame, types: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Totals per repo; each input is aggregated before the joins."""
     zero = F.lit(0).cast("bigint")
-    type_counts = types.groupBy("repo").agg(F.count("*").alias("_types"))
-    method_counts = methods.groupBy("repo").agg(
-        F.count("*").alias("_methods"), F.count_if("high_complexity").alias("_heavy")
+    type_counts = types.groupBy("repo").agg(
+        F.count("*").alias("_types"),
+        F.sum("n_methods").alias("_methods"),
+        F.sum("heavy_methods").alias("_heavy"),
     )
     endpoint_counts = endpoints.groupBy("repo").agg(F.count("*").alias("_endpoints"))
     return (
         metadata.join(type_counts, "repo", "left")
-        .join(method_counts, "repo", "left")
         .join(endpoint_counts, "repo", "left")
         .select(
             "repo",

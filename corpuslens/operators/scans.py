@@ -76,12 +76,27 @@ def catch_findings(text: Column, first_line: Column) -> Column:
     return F.transform(hits, lambda m: _finding(CATCH, F.lit(CATCH[2]), m["line"]))
 
 
-RULES = {"secrets": secret_findings, "sql": sql_findings, "catch": catch_findings}
+ALL_RULES = ("secrets", "sql", "catch")
+
+
+def text_findings(
+    text: Column,
+    first_line: Column,
+    rules: tuple[str, ...] = ALL_RULES,
+    type_prefix: str = r"String\s+",
+) -> Column:
+    """Findings of a text as one list, in rule order."""
+    found = {
+        "secrets": lambda: secret_findings(text, first_line, type_prefix),
+        "sql": lambda: sql_findings(text, first_line),
+        "catch": lambda: catch_findings(text, first_line),
+    }
+    return F.concat(*[found[name]() for name in rules])
 
 
 def scan(
-    bodies: DataFrame,
-    rules: tuple[str, ...] = ("secrets", "sql", "catch"),
+    texts: DataFrame,
+    rules: tuple[str, ...] = ALL_RULES,
     text: str = "body",
     first_line: str = "start_line",
     type_prefix: str = r"String\s+",
@@ -90,18 +105,9 @@ def scan(
 
     The rules' results are concatenated in the row, so one scan of the text serves all.
     """
-    keep = [c for c in bodies.columns if c not in (text, first_line)]
-
-    def run(body: Column) -> Column:
-        line = F.col(first_line)
-        parts = [
-            secret_findings(body, line, type_prefix) if name == "secrets" else RULES[name](body, line)
-            for name in rules
-        ]
-        return F.concat(*parts)
-
-    found = let(F.col(text), run)
-    return bodies.select(*keep, F.posexplode(found).alias("finding_ord", "_f")).select(
+    keep = [c for c in texts.columns if c not in (text, first_line)]
+    found = let(F.col(text), lambda t: text_findings(t, F.col(first_line), rules, type_prefix))
+    return texts.select(*keep, F.posexplode(found).alias("finding_ord", "_f")).select(
         *keep, "finding_ord", "_f.*"
     )
 

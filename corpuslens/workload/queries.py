@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
+from corpuslens.functions.durable import durable
 from corpuslens.operators import (
     assemble,
     batching,
@@ -16,7 +17,6 @@ from corpuslens.operators import (
     enrich,
     extract,
     graph,
-    metrics,
     reuse,
     rollup,
     scans,
@@ -45,19 +45,16 @@ def type_chunk(files_per_chunk: int = 500) -> Column:
 # --- shared inputs -----------------------------------------------------------
 
 
-def parsed(spark: SparkSession, d: str, one_repo: bool = False) -> DataFrame:
-    return extract.parse_files(X.files(spark, d, one_repo))
+def parsed(spark: SparkSession, d: str, one_repo: bool = False, **parts: bool) -> DataFrame:
+    return extract.parse_files(X.files(spark, d, one_repo), **parts)
 
 
-def measured(p: DataFrame) -> DataFrame:
-    return metrics.method_metrics(extract.method_table(p, with_body=True))
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    return extract.method_table(parsed(spark, d, metrics=True))
 
 
-def type_findings(p: DataFrame) -> DataFrame:
-    bodies = extract.type_table(p, with_body=True).select(
-        "repo", "type_ord", "file_path", "class_name", "start_line", "body"
-    )
-    return scans.scan(bodies)
+def type_findings(spark: SparkSession, d: str) -> DataFrame:
+    return extract.finding_table(parsed(spark, d, findings=True))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +199,7 @@ def _annotation_rows(rows: DataFrame, *keys: str) -> DataFrame:
 
 @query
 def annotations(spark: SparkSession, d: str) -> DataFrame:
-    p = parsed(spark, d)
+    p = durable(parsed(spark, d))
     none = F.lit(-1).cast("bigint")
     owners = extract.type_table(p).select("repo", "type_ord", none.alias("method_ord"), "annotations")
     members = extract.method_table(p).select("repo", "type_ord", "method_ord", "annotations")
@@ -232,7 +229,7 @@ def block_end(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_comment(spark: SparkSession, d: str) -> DataFrame:
-    p = parsed(spark, d)
+    p = durable(parsed(spark, d, docs=True))
     none = F.lit(-1).cast("bigint")
     owners = extract.type_table(p).select("repo", "type_ord", none.alias("method_ord"), "javadoc")
     members = extract.method_table(p).select("repo", "type_ord", "method_ord", "javadoc")
@@ -246,7 +243,7 @@ def type_role(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rest_routes(spark: SparkSession, d: str) -> DataFrame:
-    p = parsed(spark, d)
+    p = durable(parsed(spark, d))
     routes = extract.route_table(extract.type_table(p), extract.method_table(p))
     return routes.select("repo", "type_ord", "class_name", "http_method", "path")
 
@@ -269,12 +266,12 @@ def method_loc(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def method_cyclomatic(spark: SparkSession, d: str) -> DataFrame:
-    return measured(parsed(spark, d)).select("repo", "type_ord", "method_ord", "signature", "cyclomatic")
+    return measured(spark, d).select("repo", "type_ord", "method_ord", "signature", "cyclomatic")
 
 
 @query
 def method_high_complexity(spark: SparkSession, d: str) -> DataFrame:
-    return measured(parsed(spark, d)).select("repo", "type_ord", "method_ord", "high_complexity")
+    return measured(spark, d).select("repo", "type_ord", "method_ord", "high_complexity")
 
 
 @query
@@ -314,21 +311,21 @@ def match_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def findings_all(spark: SparkSession, d: str) -> DataFrame:
-    return type_findings(parsed(spark, d)).select(
+    return type_findings(spark, d).select(
         "repo", "type_ord", "class_name", big("finding_ord"), "category", "severity", "message", "line"
     )
 
 
 @query
 def findings_total(spark: SparkSession, d: str) -> DataFrame:
-    return scans.findings_total(type_findings(parsed(spark, d)))
+    return scans.findings_total(type_findings(spark, d))
 
 
 # --- graph, churn ------------------------------------------------------------
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = parsed(spark, d, one_repo=True)
+    p = durable(parsed(spark, d, one_repo=True))
     types = extract.type_table(p)
     return types, graph.dependency_edges(types, extract.import_table(p))
 
@@ -356,16 +353,12 @@ def churn_by_file(spark: SparkSession, d: str) -> DataFrame:
     return churn_ops.churn_by_file(X.commits(spark, d))
 
 
-def _hotspots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    p = parsed(spark, d)
-    types, methods = extract.type_table(p), measured(p)
-    churn = churn_ops.churn_by_file(X.commits(spark, d))
-    return types, methods, churn, churn_ops.hotspots(types, methods, churn)
-
-
 @query
 def hotspots(spark: SparkSession, d: str) -> DataFrame:
-    ranked = _hotspots(spark, d)[3]
+    """Which types change often and are hard to change? One pass over the texts."""
+    types = extract.type_table(parsed(spark, d, metrics=True))
+    churn = churn_ops.churn_by_file(X.commits(spark, d))
+    ranked = churn_ops.hotspots(types, churn)
     return ranked.select("repo", big("rank"), "class_name", "file_path", "commit_count", "heavy_methods", "score")
 
 
@@ -374,8 +367,8 @@ def hotspots(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def render_prompt(spark: SparkSession, d: str) -> DataFrame:
-    p = parsed(spark, d)
-    rendered = batching.render_types(extract.type_table(p), measured(p))
+    p = durable(parsed(spark, d, docs=True, metrics=True))
+    rendered = batching.render_types(extract.type_table(p), extract.method_table(p))
     return rendered.select("repo", "type_ord", "text")
 
 
@@ -571,7 +564,7 @@ def enrich_match(spark: SparkSession, d: str) -> DataFrame:
     )
     answers = members.select(*enrich.BATCH_KEYS).distinct().withColumn("classes", classes)
     return enrich.match_back(answers, members).select(
-        "type_ord", "file_path", "class_name", "description", big("frag_ord.pos")
+        "type_ord", "file_path", "class_name", "description", F.col("frag_ord.pos").cast("bigint").alias("pos")
     )
 
 
@@ -648,12 +641,12 @@ class Run:
 
     def __init__(self, spark: SparkSession, d: str) -> None:
         self.files = X.files(spark, d)
-        p = extract.parse_files(self.files)
+        p = durable(extract.parse_files(self.files, docs=True, metrics=True, findings=True))
         self.errors = extract.file_errors(p)
         self.types = extract.type_table(p)
-        self.methods = measured(p)
+        self.methods = extract.method_table(p)
         self.endpoints = extract.route_table(self.types, self.methods)
-        self.findings = type_findings(p)
+        self.findings = extract.finding_table(p)
         self.edges = graph.dependency_edges(self.types, extract.import_table(p))
         self.churn = churn_ops.churn_by_file(X.commits(spark, d))
         described = self.types.filter("type_ord % 4 <> 1")
@@ -703,7 +696,7 @@ class Run:
         )
 
     def hotspots(self) -> DataFrame:
-        return churn_ops.hotspots(self.types, self.methods, self.churn)
+        return churn_ops.hotspots(self.types, self.churn)
 
 
 @query
@@ -814,20 +807,22 @@ def aspect_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def severity_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return rollup.severity_rollup(type_findings(parsed(spark, d))).select(
+    return rollup.severity_rollup(type_findings(spark, d)).select(
         "repo", "severity", big("severity_rank"), "findings"
     )
 
 
 @query
 def complex_methods(spark: SparkSession, d: str) -> DataFrame:
-    return rollup.complex_methods(measured(parsed(spark, d)))
+    return rollup.complex_methods(measured(spark, d))
 
 
 @query
 def hotspot_detail(spark: SparkSession, d: str) -> DataFrame:
-    types, methods, churn, ranked = _hotspots(spark, d)
-    return rollup.hotspot_detail(ranked, types, methods, churn).select(
+    types = extract.type_table(durable(parsed(spark, d, metrics=True)))
+    churn = churn_ops.churn_by_file(X.commits(spark, d))
+    ranked = churn_ops.hotspots(types, churn)
+    return rollup.hotspot_detail(ranked, types, churn).select(
         "repo", big("rank"), "class_name", "file_path", "text"
     )
 
@@ -846,7 +841,7 @@ def findings_overview(spark: SparkSession, d: str) -> DataFrame:
     return rollup.findings_overview(
         run.types,
         run.findings,
-        rollup.hotspot_detail(run.hotspots(), run.types, run.methods, run.churn),
+        rollup.hotspot_detail(run.hotspots(), run.types, run.churn),
         rollup.relied_upon_detail(graph.fan_in(run.types, run.edges), run.types),
         rollup.complex_methods(run.methods),
         run.aspects,
@@ -856,7 +851,7 @@ def findings_overview(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dashboard_totals(spark: SparkSession, d: str) -> DataFrame:
     run = Run(spark, d)
-    return rollup.dashboard_totals(run.metadata(), run.types, run.methods, run.endpoints)
+    return rollup.dashboard_totals(run.metadata(), run.types, run.endpoints)
 
 
 @query
