@@ -78,9 +78,41 @@ def _is_container(text: Column) -> Column:
     )
 
 
+RESPONSE = f"struct<classes:array<{CLASS_STRUCT}>>"
+
+
 def parse_response(response: Column) -> Column:
     """struct<classes, repaired, valid> of a response text.
 
+    A complete, well-formed response is read in one go. Only otherwise is the text taken
+    apart field by field, see :func:`_repair`.
+    """
+
+    def complete(classes: Column) -> Column:
+        return classes.isNotNull() & F.forall(
+            classes,
+            lambda c: c["class_name"].isNotNull()
+            & c["description"].isNotNull()
+            & c["methods"].isNotNull()
+            & F.forall(c["methods"], lambda m: m["signature"].isNotNull() & m["description"].isNotNull())
+            & c["notable_aspects"].isNotNull()
+            & F.forall(c["notable_aspects"], lambda a: a.isNotNull()),
+        )
+
+    return let(
+        F.from_json(response, RESPONSE)["classes"],
+        lambda classes: F.when(
+            F.coalesce(complete(classes), F.lit(False)),
+            F.struct(
+                classes.alias("classes"), F.lit(False).alias("repaired"), F.lit(True).alias("valid")
+            ),
+        ).otherwise(_repair(response)),
+    )
+
+
+def _repair(response: Column) -> Column:
+    """struct<classes, repaired, valid>, read field by field.
+
     A list field whose value is a JSON text is decoded, at each level. Plain text fields
     stay as they are; but where decoding was needed, a text field that is itself a JSON
     list or object decodes to something that is no text, and the response is invalid.
@@ -188,7 +220,8 @@ def match_back(parsed: DataFrame, members: DataFrame) -> DataFrame:
         "type_ord",
         "file_path",
         "class_name",
-        F.struct("batch_ord", "part", "pos").alias("frag_ord"),
+        # a type lies in one batch, or in the parts of its own one
+        (F.shiftleft(F.col("part").cast("bigint"), 32) + F.col("pos")).alias("frag_ord"),
         "description",
         "methods",
         "notable_aspects",

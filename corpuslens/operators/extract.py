@@ -331,7 +331,11 @@ def parse_files(
         .when(F.size("fold.open") > 0, "block not closed")
         .when(~F.regexp_like(tail, F.lit(r"(?s)(?:\A|[{};])\s*\z")), "text after the last declaration")
     )
-    headers = F.filter("chunks", lambda c: F.regexp_like(c, F.lit(P.PACKAGE_OR_IMPORT)))
+    headers = F.filter(
+        "chunks",
+        lambda c: (F.contains(c, F.lit("import")) | F.contains(c, F.lit("package")))
+        & F.regexp_like(c, F.lit(P.PACKAGE_OR_IMPORT)),
+    )
     header_text = F.transform(headers, _bare)
     name = r"(?U)^{}\s+(?:static\s+)?([\w$.\s]+?)\s*(?:\.\s*\*)?\s*;$"
     described = computed_once(
@@ -587,7 +591,7 @@ ROUTE_VERBS = {
 
 
 def _route_path(arguments: Column) -> Column:
-    """First argument that is ``value=``/``path=`` or has no '='; '' without one."""
+    """Of an annotation's arguments the first that is ``value=``/``path=`` or has no '='; '' without one."""
     usable = F.filter(
         arguments,
         lambda a: F.startswith(a, F.lit("value=")) | F.startswith(a, F.lit("path=")) | ~F.contains(a, F.lit("=")),
@@ -595,45 +599,56 @@ def _route_path(arguments: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.get(usable, F.lit(0)), r"^(?:value|path)=", ""), F.lit(""))
 
 
-def route_table(types: DataFrame, methods: DataFrame) -> DataFrame:
-    """Routes from mapping annotations: class base path + method path."""
-    base = types.select(
-        "repo",
-        "type_ord",
-        F.rtrim(
-            _route_path(
-                F.get(
-                    F.filter("annotations", lambda a: a["name"] == "RequestMapping"), F.lit(0)
-                )["arguments"]
+def route_table(parsed: DataFrame) -> DataFrame:
+    """Routes from mapping annotations: class base path + method path.
+
+    A type's row holds its methods, so base and method path meet without a join.
+    """
+    base = F.rtrim(
+        _route_path(
+            F.get(
+                F.filter("t.annotations", lambda a: a["name"] == "RequestMapping"), F.lit(0)
+            )["arguments"]
+        ),
+        F.lit("/"),
+    )
+    verbs = F.create_map(*[F.lit(text) for pair in ROUTE_VERBS.items() for text in pair])
+    mapped = F.flatten(
+        F.transform(
+            "t.methods",
+            lambda m: F.transform(
+                F.filter(m["annotations"], lambda a: a["name"].isin(*ROUTE_VERBS)),
+                lambda a: F.struct(
+                    F.try_element_at(verbs, a["name"]).alias("http_method"),
+                    _route_path(a["arguments"]).alias("tail"),
+                ),
             ),
-            F.lit("/"),
-        ).alias("_base"),
-    )
-    verb = F.lit(None).cast("string")
-    for name, value in ROUTE_VERBS.items():
-        verb = F.when(F.col("a.name") == name, F.lit(value)).otherwise(verb)
-    mapped = (
-        methods.filter(F.exists("annotations", lambda a: a["name"].isin(*ROUTE_VERBS)))
-        .select("repo", "type_ord", "file_path", "class_name", "method_ord", F.posexplode("annotations").alias("_pos", "a"))
-        .withColumn("http_method", verb)
-        .filter(F.col("http_method").isNotNull())
-        .withColumn("_path", _route_path(F.col("a.arguments")))
-    )
-    tail = F.when(
-        (F.col("_path") != "") & ~F.startswith("_path", F.lit("/")), F.concat(F.lit("/"), "_path")
-    ).otherwise(F.col("_path"))
-    return (
-        mapped.join(base, ["repo", "type_ord"])
-        .withColumn("path", F.concat("_base", tail))
+        )
+    )
+    rows = (
+        _typed(parsed)
         .select(
             "repo",
-            "type_ord",
+            F.col("t.type_ord").alias("type_ord"),
             "file_path",
-            "class_name",
-            (F.col("method_ord") * 1000 + F.col("_pos")).alias("endpoint_ord"),
-            "http_method",
-            F.when(F.col("path") == "", "/").otherwise(F.col("path")).alias("path"),
+            F.col("t.class_name").alias("class_name"),
+            base.alias("base"),
+            F.posexplode(mapped).alias("endpoint_ord", "route"),
         )
+        .withColumn("tail", F.col("route.tail"))
+    )
+    rooted = F.when(
+        (F.col("tail") != "") & ~F.startswith("tail", F.lit("/")), F.concat(F.lit("/"), "tail")
+    ).otherwise(F.col("tail"))
+    path = F.concat("base", rooted)
+    return rows.select(
+        "repo",
+        "type_ord",
+        "file_path",
+        "class_name",
+        F.col("endpoint_ord").cast("bigint").alias("endpoint_ord"),
+        F.col("route.http_method").alias("http_method"),
+        F.when(path == "", "/").otherwise(path).alias("path"),
     )
 
 

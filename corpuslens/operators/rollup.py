@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.operators.scans import SEVERITIES
@@ -269,24 +269,34 @@ def endpoint_preview(
 ) -> DataFrame:
     """Card texts of each type: its first routes, '+n more', 'n methods · n notable'."""
     key = ["repo", "type_ord"]
-    routes = endpoints.groupBy(*key).agg(
-        F.array_sort(
-            F.collect_list(F.struct("endpoint_ord", F.concat_ws(" ", "http_method", "path").alias("route")))
-        ).getField("route").alias("_routes")
+    first = Window.partitionBy(*key).orderBy("endpoint_ord")
+    routes = (
+        endpoints.withColumn("_n", F.row_number().over(first))
+        .filter(F.col("_n") <= shown)
+        .groupBy(*key)
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct("_n", F.concat_ws(" ", "http_method", "path").alias("route")))
+            )
+            .getField("route")
+            .alias("_routes")
+        )
     )
+    totals = endpoints.groupBy(*key).agg(F.count("*").alias("_endpoints"))
     method_counts = methods.groupBy(*key).agg(F.count("*").alias("_methods"))
     aspect_counts = aspects.groupBy(*key).agg(F.count("*").alias("_aspects"))
-    extra = F.size("_routes") - shown
+    extra = F.col("_endpoints") - shown
     count = F.coalesce("_methods", F.lit(0))
     return (
         types.select(*key, "class_name")
         .join(routes, key, "left")
+        .join(totals, key, "left")
         .join(method_counts, key, "left")
         .join(aspect_counts, key, "left")
         .select(
             *key,
             "class_name",
-            F.coalesce(F.array_join(F.slice("_routes", 1, shown), ", "), F.lit("")).alias("routes"),
+            F.coalesce(F.array_join("_routes", ", "), F.lit("")).alias("routes"),
             F.when(extra > 0, F.concat(F.lit("+"), extra, F.lit(" more"))).otherwise("").alias("more"),
             F.concat(
                 count.cast("string"),

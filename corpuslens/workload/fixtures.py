@@ -224,7 +224,8 @@ def event_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(variant == 0, plain).when(variant == 1, outer).when(variant == 2, inner)
         .when(variant == 3, both).when(variant == 4, outer).otherwise(F.concat(F.lit("oops "), plain))
     )
-    return table(spark, sf_dir, "events").select("event_id", text.alias("response"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"))
+    return events.select("event_id", text.alias("response"))
 
 
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")

@@ -457,12 +457,12 @@ META = f"""meta AS (
 ORACLES["run_metadata"] = _with(*RUN, META) + "SELECT * EXCLUDE (types) REPLACE (round(estimated_cost_usd, 6) AS estimated_cost_usd) FROM meta"
 
 ORACLES["analysis_doc"] = _with(*RUN, META, HOT) + f"""
-SELECT repo, 'head' AS section, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS items, NULL AS payload FROM meta
-UNION ALL SELECT repo, 'classes', k // 500, count(*), NULL FROM typ GROUP BY 1, 3
-UNION ALL SELECT repo, 'dependency_graph', (from_ord // 268435456) // 500, count(*),
+SELECT repo, 'head' AS section, CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS sub, CAST(1 AS BIGINT) AS items, NULL AS payload FROM meta
+UNION ALL SELECT repo, 'classes', k // 500, 0, count(*), NULL FROM typ GROUP BY 1, 3
+UNION ALL SELECT repo, 'dependency_graph', (from_ord // 268435456) // 500, 0, count(*),
   '[' || string_agg('{{"from_class":"' || from_class || '","to_class":"' || to_class || '"}}', ',' ORDER BY from_ord, to_class) || ']' FROM edges GROUP BY 1, 3
-UNION ALL SELECT repo, 'hotspots', 0, count(*), '[' || string_agg('"' || class_name || '"', ',' ORDER BY rank) || ']' FROM hot GROUP BY 1
-UNION ALL SELECT repo, 'parse_errors', k // 500, count(*),
+UNION ALL SELECT repo, 'hotspots', 0, 0, count(*), '[' || string_agg('"' || class_name || '"', ',' ORDER BY rank) || ']' FROM hot GROUP BY 1
+UNION ALL SELECT repo, 'parse_errors', k // 500, 0, count(*),
   '[' || string_agg('{{"error":"' || file_path || ': block not closed"}}', ',' ORDER BY k) || ']' FROM files WHERE k % 50 = 49 GROUP BY 1, 3"""
 
 ORACLES["analysis_json"] = _with(*CORPUS, COMMITS, CHURN) + f"""

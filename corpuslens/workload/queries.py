@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.functions.durable import durable
+from corpuslens.functions.durable import computed_once, durable
 from corpuslens.operators import (
     assemble,
     batching,
@@ -243,9 +243,7 @@ def type_role(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rest_routes(spark: SparkSession, d: str) -> DataFrame:
-    p = durable(parsed(spark, d))
-    routes = extract.route_table(extract.type_table(p), extract.method_table(p))
-    return routes.select("repo", "type_ord", "class_name", "http_method", "path")
+    return extract.route_table(parsed(spark, d)).select("repo", "type_ord", "class_name", "http_method", "path")
 
 
 @query
@@ -524,7 +522,8 @@ def enrich_failures(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
-    parsed_events = X.event_responses(spark, d).withColumn("p", enrich.parse_response(F.col("response")))
+    responses = X.event_responses(spark, d)
+    parsed_events = computed_once(responses, p=enrich.parse_response(F.col("response")))
     first = F.get("p.classes", F.lit(0))
     return parsed_events.select(
         "event_id",
@@ -564,7 +563,7 @@ def enrich_match(spark: SparkSession, d: str) -> DataFrame:
     )
     answers = members.select(*enrich.BATCH_KEYS).distinct().withColumn("classes", classes)
     return enrich.match_back(answers, members).select(
-        "type_ord", "file_path", "class_name", "description", F.col("frag_ord.pos").cast("bigint").alias("pos")
+        "type_ord", "file_path", "class_name", "description", F.col("frag_ord").alias("pos")
     )
 
 
@@ -645,7 +644,7 @@ class Run:
         self.errors = extract.file_errors(p)
         self.types = extract.type_table(p)
         self.methods = extract.method_table(p)
-        self.endpoints = extract.route_table(self.types, self.methods)
+        self.endpoints = extract.route_table(p)
         self.findings = extract.finding_table(p)
         self.edges = graph.dependency_edges(self.types, extract.import_table(p))
         self.churn = churn_ops.churn_by_file(X.commits(spark, d))
@@ -739,7 +738,7 @@ def _document(spark: SparkSession, d: str) -> DataFrame:
         ),
     )
     return assemble.document_parts(
-        overview, run.metadata(), run.errors, run.assembled_types(), run.edges, run.hotspots(), type_chunk()
+        overview, run.metadata(), run.errors, run.assembled_types(), graph.depends_on_lists(run.edges), run.hotspots(), type_chunk()
     )
 
 
@@ -748,7 +747,7 @@ def analysis_doc(spark: SparkSession, d: str) -> DataFrame:
     """Document parts; list sections of plain fields are compared by their text."""
     plain = F.col("section").isin("dependency_graph", "hotspots", "parse_errors")
     return _document(spark, d).select(
-        "repo", "section", "part", "items", F.when(plain, F.col("payload")).alias("payload")
+        "repo", "section", "part", "sub", "items", F.when(plain, F.col("payload")).alias("payload")
     )
 
 

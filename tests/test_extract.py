@@ -46,7 +46,7 @@ def test_controller_facts(spark):
 
 def test_routes(spark):
     p = parse(spark, samples.ORDER_API)
-    rows = extract.route_table(extract.type_table(p), extract.method_table(p)).orderBy("endpoint_ord").collect()
+    rows = extract.route_table(p).orderBy("endpoint_ord").collect()
     assert [(r.http_method, r.path) for r in rows] == [
         ("GET", "/orders/{id}"), ("REQUEST", "/orders/search"), ("POST", "/orders"),
     ]
@@ -60,7 +60,7 @@ def test_route_root_and_argument_with_equals(spark):
 }
 """
     p = parse(spark, text)
-    rows = extract.route_table(extract.type_table(p), extract.method_table(p)).orderBy("endpoint_ord").collect()
+    rows = extract.route_table(p).orderBy("endpoint_ord").collect()
     # an argument holding '=' is skipped unless it is value= or path=
     assert [r.path for r in rows] == ["/", "/", "/p"]
 
