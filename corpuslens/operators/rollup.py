@@ -84,11 +84,10 @@ def aspect_category(text: Column) -> Column:
 
 
 def aspect_rollup(aspects: DataFrame, order: list[str]) -> DataFrame:
-    """Category sizes, largest first; of equal ones the first seen comes first."""
+    """Category sizes with the place of the first aspect seen, which breaks ties of size."""
     return (
         aspects.groupBy("repo", aspect_category(F.col("aspect")).alias("category"))
         .agg(F.count("*").alias("aspects"), F.min(F.struct(*order)).alias("first_seen"))
-        .orderBy("repo", F.desc("aspects"), "first_seen")
     )
 
 
@@ -192,40 +191,59 @@ def findings_overview(
     heavy: DataFrame,
     aspects: DataFrame,
 ) -> DataFrame:
-    """All report findings as (repo, category_rank, category, subcategory, class_name, file_path, text).
+    """All report findings as rows, in report order by category_rank, group_rank, type_ord, item_ord.
 
-    Empty categories have no rows. ``aspects`` has columns repo, type_ord, aspect.
+    Columns: repo, category_rank, category, group_rank, subcategory, type_ord, item_ord,
+    class_name, file_path, text. Empty categories have no rows. Severities come high to
+    low, aspect categories largest first; rankings have their rank as item_ord.
+    ``aspects`` has columns repo, type_ord, seen, aspect.
     """
     names = types.select("repo", "type_ord", "class_name", "file_path")
+    zero, none = F.lit(0).cast("bigint"), F.lit("")
 
-    def rows(df: DataFrame, rank: int, subcategory: Column) -> DataFrame:
+    def rows(
+        df: DataFrame, rank: int, item: Column, group: Column = zero, subcategory: Column = none, type_ord: Column = zero
+    ) -> DataFrame:
         return df.select(
             "repo",
-            F.lit(rank).alias("category_rank"),
+            F.lit(rank).cast("bigint").alias("category_rank"),
             F.lit(CATEGORIES[rank]).alias("category"),
+            group.cast("bigint").alias("group_rank"),
             subcategory.alias("subcategory"),
+            type_ord.alias("type_ord"),
+            item.cast("bigint").alias("item_ord"),
             "class_name",
             "file_path",
             "text",
         )
 
-    security = (
-        findings.select("repo", "type_ord", "severity", finding_text(F.col("message"), F.col("line")).alias("text"))
+    own = F.col("type_ord")
+    security = findings.select(
+        "repo",
+        "type_ord",
+        "finding_ord",
+        "severity",
+        finding_text(F.col("message"), F.col("line")).alias("text"),
+    ).join(names, ["repo", "type_ord"])
+    in_type = Window.partitionBy("repo", "type_ord").orderBy("seen")
+    labelled = aspects.withColumn("category", aspect_category(F.col("aspect"))).withColumn(
+        "item_ord", F.row_number().over(in_type) - 1
+    )
+    by_size = Window.partitionBy("repo").orderBy(F.desc("aspects"), "first_seen")
+    ranks = aspect_rollup(aspects, ["type_ord", "seen"]).select(
+        "repo", "category", F.row_number().over(by_size).alias("group_rank")
+    )
+    notable = (
+        labelled.join(ranks, ["repo", "category"])
         .join(names, ["repo", "type_ord"])
+        .withColumn("text", F.col("aspect"))
     )
-    none = F.lit("")
     return (
-        rows(security, 0, F.initcap("severity"))
-        .unionByName(rows(hotspot_rows, 1, none))
-        .unionByName(rows(relied_upon, 2, none))
-        .unionByName(rows(heavy.join(names, ["repo", "type_ord"]), 3, none))
-        .unionByName(
-            rows(
-                aspects.select("repo", "type_ord", F.col("aspect").alias("text")).join(names, ["repo", "type_ord"]),
-                4,
-                aspect_category(F.col("text")),
-            )
-        )
+        rows(security, 0, F.col("finding_ord"), severity_rank(F.col("severity")), F.initcap("severity"), own)
+        .unionByName(rows(hotspot_rows, 1, F.col("rank")))
+        .unionByName(rows(relied_upon, 2, F.col("rank")))
+        .unionByName(rows(heavy.join(names, ["repo", "type_ord"]), 3, F.col("method_ord"), type_ord=own))
+        .unionByName(rows(notable, 4, F.col("item_ord"), F.col("group_rank"), F.col("category"), own))
     )
 
 
@@ -314,7 +332,7 @@ def job_summary(metadata: DataFrame) -> DataFrame:
     rows = [
         ("Files parsed", F.col("total_files_parsed").cast("string")),
         ("Parse errors", F.col("parse_errors").cast("string")),
-        ("Calls made", F.col("calls_made").cast("string")),
+        ("LLM calls made", F.col("calls_made").cast("string")),
         ("Served from cache", F.col("calls_cached").cast("string")),
         ("Tokens (in / out)", F.concat_ws(" / ", "total_input_tokens", "total_output_tokens")),
         ("Estimated cost", F.format_string("$%.4f", "estimated_cost_usd")),

@@ -58,11 +58,12 @@ def file_order(path: Column) -> Column:
 def select_sources(files: DataFrame, include_tests: bool = False) -> DataFrame:
     """Java files of the standard roots, or of the whole tree where a repo has no main root.
 
-    The flag "has a main root" is aggregated from paths alone (map-side combined) and
-    joined back, so neither the texts nor a large repo are pulled into one window task.
+    A main root counts whatever files it holds. The flag is aggregated from paths alone
+    (map-side combined) and joined back, so neither the texts nor a large repo are pulled
+    into one window task.
     """
     java = files.filter(F.col("file_path").endswith(".java"))
-    roots = java.groupBy("repo").agg(
+    roots = files.groupBy("repo").agg(
         F.bool_or(root_rank(F.col("file_path")) == 0).alias("has_main")
     )
     rank = root_rank(F.col("file_path"))

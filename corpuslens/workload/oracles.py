@@ -473,7 +473,7 @@ FROM typ t LEFT JOIN churn USING (repo, file_path)"""
 
 ORACLES["run_summary"] = _with(*RUN, META) + """
 SELECT repo, 'Done: ' || total_files_parsed || ' file(s) parsed (' || parse_errors || ' parse error(s)), ' || types || ' class(es) analyzed, '
-  || calls_made || ' call(s) made / ' || calls_cached || ' served from cache, ' || total_input_tokens || ' input + ' || total_output_tokens
+  || calls_made || ' LLM call(s) made / ' || calls_cached || ' served from cache, ' || total_input_tokens || ' input + ' || total_output_tokens
   || ' output tokens, ~$' || printf('%.4f', estimated_cost_usd) || ' estimated cost' AS summary FROM meta"""
 
 # --- report roll-ups ---------------------------------------------------------
@@ -503,13 +503,20 @@ _FAN_TEXT = "'Depended on by ' || fan_in || CASE WHEN fan_in = 1 THEN ' other cl
 ORACLES["relied_upon_detail"] = _with(*GRAPH, FAN_IN) + f"""
 SELECT fan.repo, rank, fan.class_name, file_path, {_FAN_TEXT} AS text FROM fan JOIN typ USING (repo, class_name)"""
 _FIND_TEXT = "message || ' (line ' || line || ')'"
-ORACLES["findings_overview"] = _with(*RUN, HOT, FAN_IN) + f"""
-SELECT f.repo, CAST(0 AS BIGINT) AS category_rank, '{CATEGORIES[0]}' AS category, upper(severity[1]) || severity[2:] AS subcategory,
-  f.class_name, t.file_path, {_FIND_TEXT} AS text FROM find f JOIN typ t USING (repo, class_name)
-UNION ALL SELECT repo, 1, '{CATEGORIES[1]}', '', class_name, file_path, {_HOT_TEXT} FROM hot
-UNION ALL SELECT repo, 2, '{CATEGORIES[2]}', '', class_name, file_path, {_FAN_TEXT} FROM fan JOIN typ USING (repo, class_name)
-UNION ALL SELECT m.repo, 3, '{CATEGORIES[3]}', '', m.class_name, t.file_path, {_HEAVY_TEXT} FROM met m JOIN typ t USING (repo, class_name) WHERE hi
-UNION ALL SELECT repo, 4, '{CATEGORIES[4]}', {_category('aspect')}, class_name, file_path, aspect FROM asp"""
+ORACLES["findings_overview"] = _with(
+    *RUN, HOT, FAN_IN,
+    f"""cat AS (SELECT *, {_category('aspect')} AS category FROM asp)""",
+    """size AS (SELECT repo, category, row_number() OVER (PARTITION BY repo ORDER BY n DESC, t, s) AS g FROM (
+  SELECT repo, category, count(*) AS n, min(type_ord) AS t, arg_min(seen, (type_ord, seen)) AS s FROM cat GROUP BY 1, 2))""",
+) + f"""
+SELECT f.repo, CAST(0 AS BIGINT) AS category_rank, '{CATEGORIES[0]}' AS category,
+  CAST(CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS BIGINT) AS group_rank, upper(severity[1]) || severity[2:] AS subcategory,
+  f.type_ord, {_FO} AS item_ord, f.class_name, t.file_path, {_FIND_TEXT} AS text FROM find f JOIN typ t USING (repo, class_name)
+UNION ALL SELECT repo, 1, '{CATEGORIES[1]}', 0, '', 0, rank, class_name, file_path, {_HOT_TEXT} FROM hot
+UNION ALL SELECT repo, 2, '{CATEGORIES[2]}', 0, '', 0, rank, class_name, file_path, {_FAN_TEXT} FROM fan JOIN typ USING (repo, class_name)
+UNION ALL SELECT m.repo, 3, '{CATEGORIES[3]}', 0, '', m.type_ord, mo, m.class_name, t.file_path, {_HEAVY_TEXT}
+  FROM met m JOIN typ t USING (repo, class_name) WHERE hi
+UNION ALL SELECT repo, 4, '{CATEGORIES[4]}', g, category, type_ord, seen, class_name, file_path, aspect FROM cat JOIN size USING (repo, category)"""
 ORACLES["dashboard_totals"] = _with(*RUN, META) + """
 SELECT m.repo, m.types, CAST(coalesce((SELECT count(*) FROM met x WHERE x.repo = m.repo), 0) AS BIGINT) AS methods,
   CAST(coalesce((SELECT count(*) FROM rts x WHERE x.repo = m.repo), 0) AS BIGINT) AS endpoints,
@@ -532,7 +539,7 @@ SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<'
 ORACLES["job_summary"] = _with(*RUN, META) + """
 SELECT repo, CAST(0 AS BIGINT) AS metric_ord, 'Files parsed' AS metric, CAST(total_files_parsed AS VARCHAR) AS value FROM meta
 UNION ALL SELECT repo, 1, 'Parse errors', CAST(parse_errors AS VARCHAR) FROM meta
-UNION ALL SELECT repo, 2, 'Calls made', CAST(calls_made AS VARCHAR) FROM meta
+UNION ALL SELECT repo, 2, 'LLM calls made', CAST(calls_made AS VARCHAR) FROM meta
 UNION ALL SELECT repo, 3, 'Served from cache', CAST(calls_cached AS VARCHAR) FROM meta
 UNION ALL SELECT repo, 4, 'Tokens (in / out)', total_input_tokens || ' / ' || total_output_tokens FROM meta
 UNION ALL SELECT repo, 5, 'Estimated cost', '$' || printf('%.4f', estimated_cost_usd) FROM meta"""

@@ -844,7 +844,7 @@ def findings_overview(spark: SparkSession, d: str) -> DataFrame:
         rollup.relied_upon_detail(graph.fan_in(run.types, run.edges), run.types),
         rollup.complex_methods(run.methods),
         run.aspects,
-    ).select("repo", big("category_rank"), "category", "subcategory", "class_name", "file_path", "text")
+    )
 
 
 @query
