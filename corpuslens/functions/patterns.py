@@ -11,7 +11,8 @@ STRING = r'"[^"\\]*+(?:\\(?:[\s\S]|\z)[^"\\]*+)*+(?:"|\z)'
 CHAR = r"'[^'\\]*+(?:\\(?:[\s\S]|\z)[^'\\]*+)*+(?:'|\z)"
 
 COMMENT = f"{LINE_COMMENT}|{BLOCK_COMMENT}"
-MASK = f"{COMMENT}|{STRING}|{CHAR}"
+# A look at the next character spares trying the alternatives at every place.
+MASK = rf"""(?=[/"'])(?:{COMMENT}|{STRING}|{CHAR})"""
 
 # Annotation arguments: balanced parentheses, three levels, quotes respected.
 _ARG_TEXT = rf"""[^()"']++|{STRING}|{CHAR}"""
@@ -21,7 +22,7 @@ ANNOTATION_PARTS = rf"@(?!interface\b)([\w$.]++)(?:\s*+({_ARGS}))?+"
 
 # One statement or block header: text up to and including '{', '}' or ';'.
 # Comments, literals and annotations are atoms, so their braces do not count.
-CHUNK = rf"""(?:[^{{}};"'/@]++|{MASK}|{ANNOTATION}|[/@])*+[{{}};]?+"""
+CHUNK = rf"""(?:[^{{}};"'/@]++|{MASK}|(?=@){ANNOTATION}|[/@])*+[{{}};]?+"""
 
 # Fixed value: the modifier keywords that may stand before a declaration.
 MODIFIERS = (
@@ -30,7 +31,7 @@ MODIFIERS = (
 )
 DECL_PREFIX = rf"^(?:\s++|{COMMENT}|{ANNOTATION}|(?:{MODIFIERS})\b(?![\w$]))*+"
 TYPE_HEADER = r"(?U)^(class|interface|enum)\s+([\w$]+)"
-TYPE_HINT = r"\b(?:class|interface|enum)\s"
+TYPE_HINT = r"(?=[cie])\b(?:class|interface|enum)\s"
 # Applied after comments, annotations and generics are gone.
 METHOD_HEADER = (
     r"(?U)^(?:(?!(?:new|return|throw|else|record|class|interface|enum)\b)([\w$]+)(?:\s*\.\s*[\w$]+)*"
@@ -40,7 +41,7 @@ PACKAGE_OR_IMPORT = rf"^(?:\s++|{COMMENT}|{ANNOTATION})*+(package|import)\s"
 DOC_COMMENT = r"/\*\*(?s:.*?)\*/"
 
 # --- Fixed values: these must equal the published behaviour -----------------
-BRANCH = r"(?U)\bif\b|\bfor\b|\bwhile\b|\bcase\b|\bcatch\b|&&|\|\|"
+BRANCH = r"(?U)(?=[ifwc&|])(?:\b(?:if|for|while|case|catch)\b|&&|\|\|)"
 SECRET_NAME = r"(\w*(?:password|secret|apikey|api_key|token|credential)\w*)"
 SECRET_PLACEHOLDER = r"(?iU)^\s*(|changeme|xxx+|todo|placeholder|\$\{.*\})\s*$"
 SQL_KEYWORD = r"\b(?:SELECT|INSERT\s+INTO|UPDATE|DELETE\s+FROM)\b"
@@ -55,5 +56,8 @@ SQL_LITERAL = rf'(?iU)"(?:(?!{SQL_KEYWORD})(?:{_QUOTED_CHAR}))*+{SQL_KEYWORD}(?:
 
 
 def secret_assignment(type_prefix: str = r"String\s+") -> str:
-    """Quoted value given to a credential-like name; ``type_prefix`` may be empty."""
-    return rf'(?iU)\b{type_prefix}{SECRET_NAME}\s*=\s*"([^"]*)"'
+    """Quoted value given to a credential-like name; ``type_prefix`` may be empty.
+
+    The look-ahead for a '=' after the word only spares the search for the keywords in it.
+    """
+    return rf'(?iU)\b{type_prefix}(?=\w++\s*+=){SECRET_NAME}\s*=\s*"([^"]*)"'
