@@ -20,9 +20,11 @@ _ARGS = rf"\((?:{_ARG_TEXT}|\((?:{_ARG_TEXT}|\((?:{_ARG_TEXT})*+\))*+\))*+\)"
 ANNOTATION = rf"@(?!interface\b)[\w$.]++(?:\s*+{_ARGS})?+"
 ANNOTATION_PARTS = rf"@(?!interface\b)([\w$.]++)(?:\s*+({_ARGS}))?+"
 
-# One statement or block header: text up to and including '{', '}' or ';'.
-# Comments, literals and annotations are atoms, so their braces do not count.
-CHUNK = rf"""(?:[^{{}};"'/@]++|{MASK}|(?=@){ANNOTATION}|[/@])*+[{{}};]?+"""
+# Text up to and including '{' or '}', and one statement up to '{', '}' or ';'.
+# Comments, literals and annotations are atoms, so what they hold does not count.
+_ATOM = rf"""{MASK}|(?=@){ANNOTATION}|[/@]"""
+CHUNK = rf"""(?:[^{{}}"'/@]++|{_ATOM})*+[{{}}]?+"""
+STATEMENT = rf"""(?:[^{{}};"'/@]++|{_ATOM})*+[{{}};]?+"""
 
 # Fixed value: the modifier keywords that may stand before a declaration.
 MODIFIERS = (

@@ -20,7 +20,8 @@ def normalize_newlines(text: Column) -> Column:
 
 
 def newline_count(text: Column) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(NL), F.lit("")))).cast("bigint")
+    without = F.replace(text, F.lit(NL), F.lit(""))
+    return (F.octet_length(text) - F.octet_length(without)).cast("bigint")
 
 
 def source_lines(source: Column) -> Column:

@@ -3,12 +3,14 @@
 A file is one row and stays one row until its declarations are known: nothing is
 shuffled, and the text leaves the plan before the first exchange.
 
-1. ``chunks``: the text cut at '{', '}' and ';' by one regex in which comments,
-   literals and annotations are atoms.
-2. ``spans``: one fold over the chunks with a stack of open blocks. It yields the
-   candidate headers (type headers, and anything with parentheses directly inside a
-   type body) with their start, their end line and the enclosing type.
-3. ``decls``: the candidates' own text is matched against the header patterns.
+1. ``chunks``: the text cut at '{' and '}' by one regex in which comments, literals and
+   annotations are atoms.
+2. ``spans``: one fold over the chunks with a stack of open blocks. It yields the blocks
+   that may be declarations (type headers, and anything with parentheses directly inside
+   a type body) with their end line and enclosing type, and the chunks of type bodies
+   that may hold methods without a body.
+3. ``decls``: only these chunks are cut into statements and matched against the header
+   patterns.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ from corpuslens.operators.scans import text_findings
 
 SPAN = "struct<idx:int,line:bigint,off:bigint,end_line:bigint,is_type:boolean,owner:int>"
 BLOCK = "struct<idx:int,line:bigint,off:bigint,is_type:boolean,owner:int>"
+CANDIDATE = (
+    "struct<idx:int,line:bigint,off:bigint,end_line:bigint,is_type:boolean,owner:int,text:string>"
+)
 ORD_BITS = 28  # type_ord = file_ord << 28 | rank in file: a 2 GB text holds fewer types
 
 
@@ -39,26 +44,43 @@ def _bare(text: Column) -> Column:
     return trim_space(F.regexp_replace(text, P.COMMENT, " "))
 
 
+def _statements(chunk: Column) -> Column:
+    """Statements of a chunk; the empty match at its end comes last."""
+    return F.regexp_extract_all(chunk, F.lit(P.STATEMENT), F.lit(0))
+
+
+def _last_statement(chunk: Column) -> Column:
+    return let(_statements(chunk), lambda s: F.coalesce(F.get(s, F.size(s) - 2), F.lit("")))
+
+
 def _chunk_facts(chunk: Column, idx: Column) -> Column:
     """What the fold needs to know of a chunk, computed once per chunk."""
-    term = F.right(chunk, F.lit(1))
-    header = _bare(F.regexp_replace(chunk, P.DECL_PREFIX, ""))
+    opens = F.endswith(chunk, F.lit("{"))
+    header = _bare(F.regexp_replace(_last_statement(chunk), P.DECL_PREFIX, ""))
     is_type = (
-        (term == "{")
+        opens
         & F.regexp_like(chunk, F.lit(P.TYPE_HINT))
         & F.regexp_like(header, F.lit(P.TYPE_HEADER))
     )
+    paren = F.contains(chunk, F.lit("("))
     return F.struct(
         idx.cast("int").alias("idx"),
-        F.when(term.isin("{", "}", ";"), term).otherwise("").alias("term"),
+        opens.alias("opens"),
+        F.endswith(chunk, F.lit("}")).alias("closes"),
         newline_count(chunk).alias("nl"),
         F.length(chunk).cast("bigint").alias("len"),
         is_type.alias("is_type"),
-        F.contains(chunk, F.lit("(")).alias("paren"),
+        paren.alias("paren"),
+        (paren & F.contains(chunk, F.lit(";"))).alias("listed"),
     )
 
 
 def _block_spans(facts: Column) -> Column:
+    """struct<line, off, open, spans, underflow> after all chunks.
+
+    A span with an end line is a block; one without is a chunk of a type body whose
+    statements may declare methods.
+    """
     start = F.struct(
         F.lit(1).cast("bigint").alias("line"),
         F.lit(0).cast("bigint").alias("off"),
@@ -69,7 +91,11 @@ def _block_spans(facts: Column) -> Column:
 
     def step(state: Column, chunk: Column) -> Column:
         depth = F.size(state["open"])
-        top = F.get(state["open"], depth - 1)
+        return let(
+            F.get(state["open"], depth - 1), lambda top: advance(state, chunk, depth, top)
+        )
+
+    def advance(state: Column, chunk: Column, depth: Column, top: Column) -> Column:
         in_type = F.coalesce(top["is_type"], F.lit(False))
         candidate = chunk["is_type"] | (in_type & chunk["paren"])
         end_line = state["line"] + chunk["nl"]
@@ -81,7 +107,6 @@ def _block_spans(facts: Column) -> Column:
             chunk["is_type"].alias("is_type"),
             owner.alias("owner"),
         )
-        closes = (chunk["term"] == "}") & (top["idx"] >= 0)
         closed = F.struct(
             top["idx"].alias("idx"),
             top["line"].alias("line"),
@@ -90,35 +115,95 @@ def _block_spans(facts: Column) -> Column:
             top["is_type"].alias("is_type"),
             top["owner"].alias("owner"),
         )
-        bodiless = (chunk["term"] == ";") & candidate
-        declared = F.struct(
+        listed = F.struct(
             chunk["idx"].alias("idx"),
             state["line"].alias("line"),
             state["off"].alias("off"),
-            end_line.alias("end_line"),
+            F.lit(None).cast("bigint").alias("end_line"),
             F.lit(False).alias("is_type"),
             owner.alias("owner"),
         )
+        with_list = F.when(
+            in_type & chunk["listed"], F.array_append(state["spans"], listed)
+        ).otherwise(state["spans"])
         return F.struct(
             end_line.alias("line"),
             (state["off"] + chunk["len"]).alias("off"),
-            F.when(chunk["term"] == "{", F.array_append(state["open"], opened))
-            .when(
-                (chunk["term"] == "}") & (depth > 0),
-                F.slice(state["open"], F.lit(1), depth - 1),
-            )
+            F.when(chunk["opens"], F.array_append(state["open"], opened))
+            .when(chunk["closes"] & (depth > 0), F.slice(state["open"], F.lit(1), depth - 1))
             .otherwise(state["open"])
             .alias("open"),
-            F.when(closes, F.array_append(state["spans"], closed))
-            .when(bodiless, F.array_append(state["spans"], declared))
-            .otherwise(state["spans"])
+            F.when(
+                chunk["closes"] & (top["idx"] >= 0), F.array_append(with_list, closed)
+            )
+            .otherwise(with_list)
             .alias("spans"),
-            (state["underflow"] | ((chunk["term"] == "}") & (depth == 0))).alias("underflow"),
+            (state["underflow"] | (chunk["closes"] & (depth == 0))).alias("underflow"),
         )
 
     return F.aggregate(facts, start, step)
 
 
+def _candidates(spans: Column, chunks: Column) -> Column:
+    """array<CANDIDATE>: the statement heading each block, and the statements of lists."""
+
+    def of_block(span: Column, chunk: Column, head: Column) -> Column:
+        before = F.substring(chunk, F.lit(1), F.length(chunk) - F.length(head))
+        return F.array(
+            F.struct(
+                span["idx"].alias("idx"),
+                (span["line"] + newline_count(before)).alias("line"),
+                (span["off"] + F.length(before)).alias("off"),
+                span["end_line"].alias("end_line"),
+                span["is_type"].alias("is_type"),
+                span["owner"].alias("owner"),
+                head.alias("text"),
+            )
+        )
+
+    def of_list(span: Column, chunk: Column) -> Column:
+        start = F.struct(
+            span["line"].alias("line"),
+            span["off"].alias("off"),
+            F.expr(f"cast(array() as array<{CANDIDATE}>)").alias("out"),
+        )
+
+        def step(state: Column, text: Column) -> Column:
+            end_line = state["line"] + newline_count(text)
+            declared = F.struct(
+                span["idx"].alias("idx"),
+                state["line"].alias("line"),
+                state["off"].alias("off"),
+                end_line.alias("end_line"),
+                F.lit(False).alias("is_type"),
+                span["owner"].alias("owner"),
+                text.alias("text"),
+            )
+            return F.struct(
+                end_line.alias("line"),
+                (state["off"] + F.length(text)).alias("off"),
+                F.when(
+                    F.endswith(text, F.lit(";")) & F.contains(text, F.lit("(")),
+                    F.array_append(state["out"], declared),
+                )
+                .otherwise(state["out"])
+                .alias("out"),
+            )
+
+        return F.aggregate(_statements(chunk), start, step, lambda s: s["out"])
+
+    def of_span(span: Column) -> Column:
+        return let(
+            F.get(chunks, span["idx"]),
+            lambda chunk: F.when(
+                span["end_line"].isNotNull(),
+                let(_last_statement(chunk), lambda head: of_block(span, chunk, head)),
+            ).otherwise(of_list(span, chunk)),
+        )
+
+    return F.flatten(F.transform(spans, of_span))
+
+
 def _doc_comments(source: Column) -> Column:
     """array<struct<end, text>>: raw doc comments with the offset just behind each."""
     pieces = F.arrays_zip(
@@ -227,7 +312,32 @@ def _parameters(text: Column) -> Column:
     )
 
 
-def _describe(spans: Column, chunks: Column, lines: Column) -> Column:
+NO_ANNOTATIONS = "cast(array() as array<struct<name:string,arguments:array<string>>>)"
+
+
+def _header_fields(is_type: Column, core: Column) -> Column:
+    """struct<kind, name, type_name, params>, each '' where the text is no such header.
+
+    One match per header: its groups are written out between NULs and split again.
+    """
+    method = F.split(F.regexp_replace(core, P.METHOD_HEADER, "$1\0$2\0$3"), "\0", -1)
+    type_ = F.split(F.regexp_replace(core, P.TYPE_HEADER + "(?s:.*)$", "$1\0$2"), "\0", -1)
+
+    def take(parts: Column, size: int, at: int) -> Column:
+        return F.when(F.size(parts) == size, F.get(parts, F.lit(at))).otherwise("")
+
+    def fields(parts: Column) -> Column:
+        return F.struct(
+            F.when(is_type, take(parts, 2, 0)).otherwise("").alias("kind"),
+            F.when(is_type, take(parts, 2, 1)).otherwise(take(parts, 3, 1)).alias("name"),
+            F.when(is_type, "").otherwise(take(parts, 3, 0)).alias("type_name"),
+            F.when(is_type, "").otherwise(take(parts, 3, 2)).alias("params"),
+        )
+
+    return let(F.when(is_type, type_).otherwise(method), fields)
+
+
+def _describe(candidates: Column, lines: Column) -> Column:
     """Candidates' header text to its parts; ``name`` is '' where it is no declaration.
 
     A block's end counts braces from the start of the declaration's line. That is the
@@ -236,15 +346,13 @@ def _describe(spans: Column, chunks: Column, lines: Column) -> Column:
     """
 
     def cut(span: Column) -> Column:
-        chunk = F.get(chunks, span["idx"])
         return F.struct(
-            span.alias("span"),
-            chunk.alias("chunk"),
-            F.regexp_extract(chunk, P.DECL_PREFIX, 0).alias("prefix"),
+            span.alias("span"), F.regexp_extract(span["text"], P.DECL_PREFIX, 0).alias("prefix")
         )
 
     def clean(c: Column) -> Column:
-        core = _bare(F.substring(c["chunk"], F.length(c["prefix"]) + 1, F.length(c["chunk"])))
+        text = c["span"]["text"]
+        core = _bare(F.substring(text, F.length(c["prefix"]) + 1, F.length(text)))
         return F.struct(
             c["span"].alias("span"),
             c["prefix"].alias("prefix"),
@@ -257,39 +365,39 @@ def _describe(spans: Column, chunks: Column, lines: Column) -> Column:
         )
 
     def part(c: Column) -> Column:
+        return let(_header_fields(c["span"]["is_type"], c["core"]), lambda h: fields(c, h))
+
+    def fields(c: Column, header: Column) -> Column:
         span, prefix = c["span"], c["prefix"]
-        is_type = span["is_type"]
         line_head = F.substring_index(prefix, "\n", -1)
         first_on_line = (F.contains(prefix, F.lit("\n")) | (span["off"] == 0)) & ~F.regexp_like(
             line_head, F.lit("[{};]")
         )
-        modifiers = F.regexp_extract_all(
-            F.regexp_replace(prefix, f"{P.COMMENT}|{P.ANNOTATION}", " "), F.lit(r"[\w-]+"), F.lit(0)
-        )
+        noted = F.contains(prefix, F.lit("@"))
+        words = F.when(
+            noted | F.contains(prefix, F.lit("/")),
+            F.regexp_replace(prefix, f"{P.COMMENT}|{P.ANNOTATION}", " "),
+        ).otherwise(prefix)
         return F.struct(
             span["idx"].alias("idx"),
-            is_type.alias("is_type"),
+            span["is_type"].alias("is_type"),
             span["owner"].alias("owner"),
             c["start_line"].alias("start_line"),
             (span["off"] + F.length(prefix)).alias("start_off"),
             F.when(first_on_line, span["end_line"])
             .otherwise(block_end_line(lines, c["start_line"]))
             .alias("end_line"),
-            F.when(is_type, F.regexp_extract(c["core"], P.TYPE_HEADER, 1)).otherwise("").alias("kind"),
-            F.when(is_type, F.regexp_extract(c["core"], P.TYPE_HEADER, 2))
-            .otherwise(F.regexp_extract(c["core"], P.METHOD_HEADER, 2))
-            .alias("name"),
-            F.when(is_type, "")
-            .otherwise(F.regexp_extract(c["core"], P.METHOD_HEADER, 1))
-            .alias("type_name"),
-            F.when(is_type, "")
-            .otherwise(F.regexp_extract(c["core"], P.METHOD_HEADER, 3))
-            .alias("params"),
-            F.array_sort(F.array_distinct(modifiers)).alias("modifiers"),
-            _annotations(prefix).alias("annotations"),
+            header["kind"].alias("kind"),
+            header["name"].alias("name"),
+            header["type_name"].alias("type_name"),
+            header["params"].alias("params"),
+            F.array_sort(
+                F.array_distinct(F.regexp_extract_all(words, F.lit(r"[\w-]+"), F.lit(0)))
+            ).alias("modifiers"),
+            F.when(noted, _annotations(prefix)).otherwise(F.expr(NO_ANNOTATIONS)).alias("annotations"),
         )
 
-    return F.transform(F.transform(F.transform(spans, cut), clean), part)
+    return F.transform(F.transform(F.transform(candidates, cut), clean), part)
 
 
 def parse_files(
@@ -310,7 +418,8 @@ def parse_files(
     """
     chunked = computed_once(
         files,
-        chunks=F.regexp_extract_all("source", F.lit(P.CHUNK), F.lit(0)),
+        # the added newline ends a line comment, so no comment's brace is a chunk's last character
+        chunks=F.regexp_extract_all(F.concat("source", F.lit("\n")), F.lit(P.CHUNK), F.lit(0)),
         lines=source_lines(F.col("source")),
     )
     folded = computed_once(chunked, fold=_block_spans(F.transform("chunks", _chunk_facts)))
@@ -332,7 +441,7 @@ def parse_files(
         .when(~F.regexp_like(tail, F.lit(r"(?s)(?:\A|[{};])\s*\z")), "text after the last declaration")
     )
     headers = F.filter(
-        "chunks",
+        _statements(F.get("chunks", F.lit(0))),
         lambda c: (F.contains(c, F.lit("import")) | F.contains(c, F.lit("package")))
         & F.regexp_like(c, F.lit(P.PACKAGE_OR_IMPORT)),
     )
@@ -342,7 +451,7 @@ def parse_files(
         folded,
         problem=reason,
         header=header_text,
-        decls=_describe(F.col("fold.spans"), F.col("chunks"), F.col("lines")),
+        decls=_describe(_candidates(F.col("fold.spans"), F.col("chunks")), F.col("lines")),
     )
     sound = F.col("problem").isNull()
     no_decls = F.slice("decls", 1, 0)
@@ -422,7 +531,7 @@ def _method_facts(t: Column, wanted: _Wanted) -> Column:
     keyed = F.array_sort(
         F.transform(
             mine,
-            lambda d: F.struct((d["type_name"] != "").alias("k"), d["idx"].alias("i"), d.alias("d")),
+            lambda d: F.struct((d["type_name"] != "").alias("k"), d["start_off"].alias("i"), d.alias("d")),
         )
     )
 
@@ -490,7 +599,7 @@ def _ordered_types(decls: Column) -> Column:
     """Type declarations in listing order: by kind, then by position."""
     types = F.filter(decls, lambda d: d["is_type"])
     keyed = F.transform(
-        types, lambda d: F.struct(_kind_rank(d["kind"]).alias("k"), d["idx"].alias("i"), d.alias("d"))
+        types, lambda d: F.struct(_kind_rank(d["kind"]).alias("k"), d["start_off"].alias("i"), d.alias("d"))
     )
     return F.transform(F.array_sort(keyed), lambda s: s["d"])
 

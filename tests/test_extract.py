@@ -105,6 +105,33 @@ def test_broken_file_is_set_aside(spark):
     assert {t.class_name for t in extract.type_table(p).collect()} == {"Painter"}
 
 
+def test_braces_in_a_last_comment(spark):
+    p = parse(spark, "class A { } // }", "class B { } // {", "class C { } /* } */", "class D { } // ;")
+    assert extract.file_errors(p).count() == 0
+    assert {(t.class_name, t.end_line) for t in extract.type_table(p).collect()} == {
+        ("A", 1), ("B", 1), ("C", 1), ("D", 1),
+    }
+
+
+def test_bodiless_members_and_fields(spark):
+    text = """abstract class A {
+    int n = of(1); /* one */ String s;
+    abstract int a(int x); protected abstract
+        void b();
+    native long c() throws E;
+    B d = new B(1, 2) { void no() { f(); } };
+    { g(); } static { h(); }
+    void e() { for (int i = 0; i < 3; i++) { j(i); } }
+}
+"""
+    p = parse(spark, text)
+    rows = extract.method_table(p).orderBy("method_ord").collect()
+    assert [(m.signature, m.start_line, m.end_line, m.modifiers) for m in rows] == [
+        ("int a(int x)", 3, 3, ["abstract"]), ("void b()", 4, 4, ["abstract", "protected"]),
+        ("long c()", 5, 5, ["native"]), ("void e()", 8, 8, []),
+    ]
+
+
 def test_doc_comment_gap(spark):
     near = "/** Near. */\n" + "int x;" + " " * 300 + "\nclass A {}\n"
     far = "/** Far. */\n" + "int x" + "y" * 200 + ";\nclass B {}\n"
