@@ -21,27 +21,15 @@ def read_source_tree(spark: SparkSession, root: str, glob: str = "*.java") -> Da
         .option("pathGlobFilter", glob)
         .load(root)
     )
-    # Everything after the root's last segment: '<repo>/<path>'.
-    marker = "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/"
-    tail = F.substring_index(F.col("path"), marker, -1)
-    if root.rstrip("/").count("/"):
-        base = root.rstrip("/") + "/"
-        tail = F.when(
-            F.instr("path", base) > 0,
-            F.expr("substring(path, instr(path, :base) + length(:base))".replace(":base", _quoted(base))),
-        ).otherwise(tail)
-    parts = F.split(tail, "/", 2)
+    # The listed path may carry a scheme; what follows the root is '<repo>/<path>'.
+    below = rf"\Q{root.rstrip('/')}/\E([^/]+)/(.+)$"
     return raw.select(
-        parts[0].alias("repo"),
-        parts[1].alias("file_path"),
+        F.regexp_extract("path", below, 1).alias("repo"),
+        F.regexp_extract("path", below, 2).alias("file_path"),
         normalize_newlines(decode_lenient(F.col("content"))).alias("source"),
     )
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def root_rank(path: Column) -> Column:
     return (
         F.when(F.startswith(path, F.lit(MAIN_ROOT)), F.lit(0))
