@@ -16,7 +16,7 @@ EMPTY_COMMITS = "repo string, commit_ord struct<block:bigint,row:bigint>, date s
 def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
     """Records of log files named ``<repo>.log``; see :func:`commit_touches`.
 
-    A file splits at the marker, so a long log is read by many tasks. ``commit_ord``
+    Text before a file's first marker is no record. A file splits at the marker, so a long log is read by many tasks. ``commit_ord``
     is (split start, row in task), which grows along the file.
     """
     raw = spark.read.option("lineSep", COMMIT_MARKER).text(path)
@@ -27,7 +27,7 @@ def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("row"),
         ).alias("commit_ord"),
         F.col("value").alias("record"),
-    )
+    ).filter(F.regexp_like("record", F.lit(r"\A\d{4,}-\d\d-\d\d\b")))
 
 
 def commit_touches(records: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.text import mask_code, normalize_newlines, source_lines
 from corpuslens.operators import extract
-from corpuslens.operators.metrics import cyclomatic
+from corpuslens.operators.metrics import cyclomatic, method_metrics
 from tests import samples
 
 
@@ -273,3 +273,22 @@ def test_annotation_arguments(spark):
     df = spark.createDataFrame([(k,) for k in cases], "a string")
     got = [r.v for r in df.select(extract.annotation_arguments(F.col("a")).alias("v")).collect()]
     assert got == list(cases.values())
+
+
+def test_metric_limits(spark):
+    bodies = {
+        "linear": "int a() {\n  return 1;\n}",
+        "branchy": "int b() {\n" + "if (x) { if (y && z) { } }\n" * 2 + "for (;;) { }\n}",
+        "many": "int c() {\n" + "  if (x) { }\n" * 15 + "}",
+        "long": "int d() {\n" + "  step();\n" * 58 + "}",
+        "words": 'int e() {\n  log("if for while"); // case catch\n  /* && || */ c = \'"\'; ifs(x);\n}',
+    }
+    rows = [(k, 1, v.count("\n") + 1, v) for k, v in bodies.items()]
+    df = spark.createDataFrame(rows, "name string, start_line bigint, end_line bigint, body string")
+    got = {r.name: (r.loc, r.cyclomatic, r.high_complexity) for r in method_metrics(df).collect()}
+    assert got == {
+        "linear": (3, 1, False), "branchy": (5, 8, False), "many": (17, 16, True), "long": (60, 1, True),
+        "words": (4, 1, False),
+    }
+    strict = {r.name for r in method_metrics(df, 7, 100).filter("high_complexity").collect()}
+    assert strict == {"branchy", "many"}

@@ -46,7 +46,7 @@ def test_read_source_tree(spark, tmp_path):
 
 def test_commit_log(spark, tmp_path):
     mark = commits.COMMIT_MARKER
-    log = f"{mark}2024-02-01\nsub/A.java\n\n{mark}2024-03-09\n sub/B.java \nother/C.java\n\n{mark}2024-01-01\nsub/A.java\n"
+    log = f"warning: x\nsub/Z.java\n{mark}2024-02-01\nsub/A.java\n\n{mark}2024-03-09\n sub/B.java \nother/C.java\n\n{mark}2024-01-01\nsub/A.java\n"
     (tmp_path / "shop.log").write_text(log)
     touched = commits.commit_touches(commits.read_commit_log(spark, str(tmp_path)))
     assert touched.count() == 4
