@@ -47,6 +47,7 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes according reported reads titled word term".split())
 ADDRESS = frozenset("you your youre yourself u ur".split())
 _KEEP = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 32 for b in range(256))
+_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -159,7 +160,7 @@ class Reader:
 
 def contexts(text: str, words: set[str]) -> Iterator[tuple[str, bool, bool, bool]]:
     """(word, quoted, reported, addressed) for each place of ``words`` in a text."""
-    spans = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    spans = [(m[0].translate(_LOWER), m.start(), m.end()) for m in _WORD.finditer(text)]
     for k, (word, low, high) in enumerate(spans):
         if word in words:
             around = {w for w, _, _ in spans[max(0, k - WINDOW) : k + WINDOW + 1]}
@@ -175,7 +176,8 @@ def score(model: Model, reader: Reader, text: bytes) -> float:
     if not hits:
         return CLEAN
     by = {word.decode(): (term, edits) for word, term, edits in hits}
-    if any(edits == 0 for _, edits in by.values()):  # a misspelling adds nothing to a term spelled right
+    right = any(edits == 0 for _, edits in by.values())
+    if right:  # a misspelling adds nothing to a term spelled right
         by = {w: hit for w, hit in by.items() if hit[1] == 0}
     miss = least = 0.0
     for word, quoted, reported, addressed in contexts(text.decode(), by.keys()):
@@ -186,7 +188,7 @@ def score(model: Model, reader: Reader, text: bytes) -> float:
             sure = 1 - (1 - sure) * 0.8
         one = math.log1p(-min(sure, 0.999))
         miss, least = miss + one, min(least, one)
-    if edits:  # any number of doubtful spellings is no better than the clearest
+    if not right:  # any number of doubtful spellings is no better than the clearest
         miss = least
     return 1 - (1 - CLEAN) * math.exp(max(miss, -30.0))
 
