@@ -30,7 +30,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import TEXT_WORDS, stored, texts_of, words_of
@@ -199,9 +198,9 @@ def score(model: Model, reader: Reader, text: bytes) -> float:
 def labelled_sample(docs: DataFrame, labels: DataFrame, teaches: Column, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, toxic, text) of at most ``sample`` different documents a label, chosen by a hash of the id."""
     known = labels.where(teaches & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    place = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
     there = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = there.withColumn("place", place).where(F.col("place") <= sample).select("doc_id", "toxic")
+    first = lambda label: there.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = first(0).unionByName(first(1))
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
 
 
