@@ -73,8 +73,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     return taken.mapInArrow(scan, f"doc_id {kind}, row_key string, fp bigint")
 
 
-def block_masks(n: int, distance: int) -> list[int]:
-    """Masks of block choices; the number of blocks is the cheapest for ``n`` fingerprints.
+def block_masks(n: int, distance: int, blocks: int | None = None) -> list[int]:
+    """Masks of block choices; the number of blocks is given, or the cheapest for ``n`` fingerprints.
 
     Cost: rows under keys, and pairs that meet by chance; both in rows.
     """
@@ -82,10 +82,10 @@ def block_masks(n: int, distance: int) -> list[int]:
     def cost(m: int) -> float:
         return comb(m, distance) * (n + n * n / 2 / 2 ** (64 * (m - distance) // m))
 
-    m = min(range(distance + 1, distance + 6), key=cost)
+    m = blocks or min(range(distance + 1, distance + 6), key=cost)
     edges = [round(64 * i / m) for i in range(m + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    return [sum(chosen) for chosen in combinations(blocks, m - distance)]
+    each = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+    return [sum(chosen) for chosen in combinations(each, m - distance)]
 
 
 def _walk(fps: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
@@ -125,9 +125,9 @@ def _links(cells: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarra
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
+def near_links(fps: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """(a, b): links that connect all of ``fps`` (fp, distinct) that differ in at most ``distance`` bits."""
-    masks = block_masks(fps.count(), distance)
+    masks = block_masks(0 if blocks else fps.count(), distance, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     key = lambda i, m: F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m)))
     keyed = fps.select("fp", F.explode(F.array(*[key(i, m) for i, m in enumerate(signed)])).alias("key"))
@@ -158,8 +158,8 @@ def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     return ordered.mapInArrow(scan, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, row_key, fp, component_id, n_linked) of each row of ``docs``.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, blocks: int | None = None) -> DataFrame:
+    """(doc_id, row_key, fp, component_id, first_key) of each row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links, ``first_key`` the smallest
     (id, row key) there: the row that stands for the component.
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = stored(fingerprints(docs, doc_id, text, words), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
     fps = stored(rows.groupBy("fp").agg(first), "distinct-fingerprints")
-    labels = components(near_links(fps.select("fp"), distance))
+    labels = components(near_links(fps.select("fp"), distance, blocks))
     joined = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     joined = stored(joined, "fingerprint-labels")
     leads = joined.groupBy("label").agg(F.min("first").alias("lead"))
@@ -175,12 +175,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(leads, "fp").select("doc_id", "row_key", "fp", "component_id", "first_key")
 
 
-def without_near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7) -> DataFrame:
     """One row of each component of ``docs``, with the columns of ``docs``.
 
+    Seven bits of 64 are an angle whose cosine is 0.94, about what texts have that share nine
+    tenths of their five-word shingles. Keys are three of ten blocks: 19 bits.
     The row with the smallest id stays. Of rows that repeat it in id and text, one stays.
     """
-    found = near_duplicates(docs, words=words)
+    found = near_duplicates(docs, words=words, distance=distance, blocks=distance + 3)
     keep = stored(found.where(F.col("row_key") == F.col("first_key")).select(F.col("row_key").alias("__kept")).distinct(), "kept")
     keyed = docs.withColumn("__row_key", row_key(F.col("doc_id"), F.col("text")))
     kept = keyed.join(keep, F.col("__row_key") == F.col("__kept"), "left_semi")
