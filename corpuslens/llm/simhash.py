@@ -8,8 +8,8 @@ but longer, more selective keys. All choices give the same, exact links.
 * Equal fingerprints are one node, so copies of a text never meet each other.
 * Keys that many fingerprints share are split into cells of bounded size: the key's
   fingerprints fall into hash parts and each pair of parts is a cell.
-* A cell yields links that connect what it has, not all its pairs: a breadth-first walk
-  takes each fingerprint once and keeps the link by which it was reached.
+* A cell yields links that connect what it has, not all its pairs: each fingerprint is linked
+  with the first that it reaches by near steps within the cell.
 
 Result for odd input: null, empty and blank texts have fingerprint zero, and are linked like
 any other; a text of fewer words than a shingle is one shingle; repeated rows are repeated in
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import row_key, stored, texts_of
 from corpuslens.llm.components import components
 
-#: A cell holds about so many fingerprints; above PAIRS, a walk replaces comparing neighbours in order.
+#: A cell holds about so many fingerprints; above PAIRS, a walk replaces comparing each with its successors.
 CELL, PAIRS = 4096, 16
 
 
@@ -89,40 +89,44 @@ def block_masks(n: int, distance: int, blocks: int | None = None) -> list[int]:
 
 
 def _walk(fps: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """Links that connect what is connected among ``fps`` by steps of at most ``distance`` bits."""
+    """(first, other) of what is connected among sorted ``fps`` by steps of at most ``distance`` bits."""
     rest = fps
     while len(rest) > 1:
+        first = int(rest[:1].view(np.int64)[0])
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
-            at = queue.pop()
-            near = np.bitwise_count(rest ^ at) <= distance
+            near = np.bitwise_count(rest ^ queue.pop()) <= distance
             if near.any():
                 reached = rest[near]
                 queue.extend(reached)
                 rest = rest[~near]
-                yield from ((int(at), int(x)) for x in reached.view(np.int64))
+                yield from ((first, int(x)) for x in reached.view(np.int64))
 
 
 def _links(cells: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``cells``."""
+    """Links within runs of equal ``cells``: from the first of what is connected there to each other."""
     cut = np.flatnonzero(np.diff(cells)) + 1
     starts, ends = np.r_[0, cut], np.r_[cut, len(cells)]
     sizes = ends - starts
     small = np.repeat(sizes <= PAIRS, sizes)
-    left, right = [], []
+    near: list[np.ndarray] = [np.zeros((2, 0), dtype=np.int64)]
     for step in range(1, min(PAIRS, int(sizes.max(initial=0)))):
         i = np.flatnonzero((cells[:-step] == cells[step:]) & small[:-step])
         i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= distance]
-        left.append(fps[i].view(np.int64))
-        right.append(fps[i + step].view(np.int64))
+        near.append(np.stack([i, i + step]))
+    i, j = np.concatenate(near, axis=1)
+    first = np.arange(len(fps))
+    while (first[i] != first[j]).any():
+        least = np.minimum(first[i], first[j])
+        np.minimum.at(first, i, least)
+        np.minimum.at(first, j, least)
+    other = np.flatnonzero(first != np.arange(len(fps)))
+    left, right = [fps[first[other]].view(np.int64)], [fps[other].view(np.int64)]
     for k in np.flatnonzero(sizes > PAIRS):
-        found = list(_walk(fps[starts[k] : ends[k]], distance))
-        if found:
-            a, b = zip(*found)
-            left.append(np.array(a, dtype=np.uint64).view(np.int64))
-            right.append(np.array(b, dtype=np.int64))
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+        found = np.array(list(_walk(fps[starts[k] : ends[k]], distance)), dtype=np.int64).reshape(-1, 2)
+        left.append(found[:, 0])
+        right.append(found[:, 1])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def near_links(fps: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
