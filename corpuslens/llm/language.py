@@ -147,6 +147,7 @@ def costs(automata: Automata, letters: np.ndarray, bounds: np.ndarray) -> np.nda
         seen = automata.table[state[:, :on] + coded[begin[:on] + step]]
         phrases[:, :on] += seen & 3
         state[:, :on] = seen >> 2
+    phrases -= state == automata.roots[:, None]  # begun behind an unknown last letter
     out = np.zeros((len(automata.names), len(sizes)))
     for k, bits in enumerate(automata.bits):
         out[k] = np.bincount(rows, weights=phrases[k], minlength=len(sizes)) * bits / np.maximum(sizes, 1)
