@@ -16,11 +16,13 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of a component's width. Labels are written between rounds, nothing but the
     number of changes comes to the driver, and no node's links are ever gathered.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).where(F.col("a") != F.col("b")).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    links = stored(links.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "links")
+    ends = lambda node, other: links.groupBy(F.col(node).alias("node")).agg(F.least(F.min(other), F.col(node)).alias("label"))
+    labels = stored(ends("a", "b").union(ends("b", "a")).groupBy("node").agg(F.min("label").alias("label")), "labels")
     while True:
         of = lambda name, frame=labels: frame.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
-        least = both.join(of("b"), "b").groupBy("a").agg(F.min("b_label").alias("least"))
+        across = lambda node, other: links.join(of(other), other).groupBy(F.col(node).alias("a")).agg(F.min(f"{other}_label").alias("least"))  # noqa: E731, B023
+        least = across("a", "b").union(across("b", "a")).groupBy("a").agg(F.min("least").alias("least"))
         offers = (
             least.join(of("a"), "a")
             .where(F.col("least") < F.col("a_label"))
