@@ -507,7 +507,8 @@ def _type_facts(t: Column, i: Column, wanted: _Wanted) -> Column:
     if wanted.docs:
         # The first place that looks like the declaration anchors its doc comment.
         anchor = F.concat(F.lit(r"(?U)\b(?:class|interface|enum)\s+\Q"), t["name"], F.lit(r"\E\b"))
-        offset = F.greatest(F.regexp_instr("source", anchor) - 1, F.lit(0)).cast("bigint")
+        around = F.split("source", anchor, 2)  # offsets count characters, not UTF-16 units
+        offset = let(around, lambda a: F.when(F.size(a) > 1, F.length(a[0])).otherwise(0)).cast("bigint")
         fields.append(
             let(offset, lambda at: doc_before(F.col("source"), F.col("docs"), at)).alias("javadoc")
         )

@@ -278,8 +278,9 @@ def dashboard_totals(metadata: DataFrame, types: DataFrame, endpoints: DataFrame
 
 
 def generated_at_text(iso: Column) -> Column:
-    """'2026-01-01T00:00:00+00:00' to 'January 01, 2026 at 12:00 AM UTC' (session zone UTC)."""
-    return F.date_format(F.to_timestamp(iso), "MMMM dd, yyyy 'at' hh:mm a z")
+    """'2026-01-01T02:00:00+02:00' to 'January 01, 2026 at 12:00 AM UTC', in any session zone."""
+    at_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.to_timestamp_ntz(F.to_timestamp(iso).cast("string")))
+    return F.date_format(at_utc, "MMMM dd, yyyy 'at' hh:mm a 'UTC'")
 
 
 def endpoint_preview(

@@ -196,7 +196,7 @@ def side_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, doc_id, cache_key): the text is hashed where it is read and goes no further."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return docs.select(F.col("source").alias("repo"), "doc_id", content_key(F.col("text")).alias("cache_key"))
 
 

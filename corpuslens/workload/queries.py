@@ -61,8 +61,8 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "documents")
 
 
-def spread_documents(spark: SparkSession, d: str) -> DataFrame:
-    return X.spread(documents(spark, d).select("doc_id", "source", "text"))
+def document_texts(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("doc_id", "source", "text")
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -91,7 +91,7 @@ def corpus_capped(spark: SparkSession, d: str) -> DataFrame:
 @query
 def lenient_decode(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of every document with one bad byte put in front."""
-    docs = X.spread(documents(spark, d).select("doc_id", "text"))
+    docs = documents(spark, d).select("doc_id", "text")
     raw = docs.select(
         "doc_id", F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8")).alias("content")
     )
@@ -275,7 +275,7 @@ def method_high_complexity(spark: SparkSession, d: str) -> DataFrame:
 @query
 def scan_secrets(spark: SparkSession, d: str) -> DataFrame:
     """Secret rule without the type prefix over whole document texts."""
-    docs = spread_documents(spark, d).withColumn("start_line", F.lit(1))
+    docs = document_texts(spark, d).withColumn("start_line", F.lit(1))
     return scans.scan(docs, ("secrets",), text="text", type_prefix="").select(
         "doc_id", "source", "severity", "message", "line"
     )
@@ -296,7 +296,7 @@ def scan_empty_catch(spark: SparkSession, d: str) -> DataFrame:
 @query
 def match_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of all matches of a pattern that spans a line end, in whole document texts."""
-    docs = spread_documents(spark, d)
+    docs = document_texts(spark, d)
     found = docs.select(
         "doc_id", T.matches_with_line(F.col("text"), r"\.\n", F.lit(1)).alias("hits")
     )
@@ -411,7 +411,7 @@ def greedy_batches(spark: SparkSession, d: str) -> DataFrame:
 @query
 def oversized_split(spark: SparkSession, d: str) -> DataFrame:
     """Documents over 500 tokens, split at lines (a line stands for a method)."""
-    docs = spread_documents(spark, d).select(
+    docs = document_texts(spark, d).select(
         "doc_id",
         F.lit("doc {").alias("head"),
         F.transform(F.split("text", "\n", -1), lambda s: F.concat(F.lit("\n"), s)).alias("pieces"),
@@ -499,7 +499,7 @@ def describe_text(prompt: str) -> tuple[str, int, int]:
 
 
 def _enriched(spark: SparkSession, d: str) -> DataFrame:
-    prompts = spread_documents(spark, d).withColumnRenamed("text", "prompt")
+    prompts = document_texts(spark, d).withColumnRenamed("text", "prompt")
     return enrich.parse_responses(enrich.enrich_batches(prompts, describe_text, ["doc_id", "source"]))
 
 
@@ -791,7 +791,7 @@ def module_groups(spark: SparkSession, d: str) -> DataFrame:
 @query
 def aspect_category(spark: SparkSession, d: str) -> DataFrame:
     """Category of every whole document text and of every keyworded part name."""
-    docs = spread_documents(spark, d).select(
+    docs = document_texts(spark, d).select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text"
     )
     parts = X.part_aspects(spark, d).select(F.lit("part").alias("kind"), "id", F.col("aspect").alias("text"))

@@ -80,8 +80,7 @@ def test_edges(spark):
     parts = graph.depends_on_lists(
         spark.range(5000).selectExpr("'r' repo", "id from_ord", "'Main' from_class", "concat('T', id) to_class")
     ).collect()
-    assert len(parts) == 5 == parts[0].parts
-    assert sorted(t for r in parts for t in r.depends_on) == sorted(f"T{i}" for i in range(5000))
+    assert [r.depends_on for r in parts] == [sorted(f"T{i}" for i in range(5000))]
     # both types named A carry the shared list
     ranked = graph.fan_in(types, edges).orderBy("rank").collect()
     assert [(r.class_name, r.fan_in) for r in ranked] == [("B", 2), ("A", 1)]
