@@ -1,4 +1,4 @@
-"""Connected components of a large link table, by label hooking and pointer jumping."""
+"""Connected components of a large link table, by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -8,34 +8,38 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import stored
 
 
+def _roots(hooks: DataFrame) -> DataFrame:
+    """(node, label) with each label followed to the end: pointers double until none moves."""
+    while True:
+        ahead = hooks.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jumped = stored(hooks.join(ahead, "label").select("node", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("moved")), "jumped")
+        hooks = jumped.select("node", "label")
+        if jumped.where("moved").isEmpty():
+            return hooks
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of ``links`` (a, b): the smallest node it is connected with.
 
-    Each round, every node and the node its label names take the smallest label among their
-    neighbours, then labels are replaced by the labels of their labels. Rounds grow with the
-    logarithm of a component's width. Labels are written between rounds, nothing but the
-    number of changes comes to the driver, and no node's links are ever gathered.
+    Each round, every node is hooked to its smallest neighbour if that is smaller, and the
+    trees so made become the nodes of the next round, with the links that run between them.
+    A round leaves at most half of the nodes that still have links. Tables are written between
+    rounds, nothing but whether one is empty comes to the driver, and no node's links are ever
+    gathered.
     """
-    links = stored(links.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "links")
-    ends = lambda node, other: links.groupBy(F.col(node).alias("node")).agg(F.least(F.min(other), F.col(node)).alias("label"))
-    labels = stored(ends("a", "b").union(ends("b", "a")).groupBy("node").agg(F.min("label").alias("label")), "labels")
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    rest = stored(links.where(F.col("a") != F.col("b")).select(*ordered("a", "b")).distinct(), "links")
+    labels = None
     while True:
-        of = lambda name, frame=labels: frame.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
-        across = lambda node, other: links.join(of(other), other).groupBy(F.col(node).alias("a")).agg(F.min(f"{other}_label").alias("least"))  # noqa: E731, B023
-        least = across("a", "b").union(across("b", "a")).groupBy("a").agg(F.min("least").alias("least"))
-        offers = (
-            least.join(of("a"), "a")
-            .where(F.col("least") < F.col("a_label"))
-            .select(F.explode(F.array("a", "a_label")).alias("node"), "least")
-            .groupBy("node")
-            .agg(F.min("least").alias("least"))
-        )
-        hooked = stored(
-            labels.join(offers, "node", "left").select("node", F.least("label", F.coalesce("least", "label")).alias("label"), F.col("least").isNotNull().alias("moved")), "hooked"
-        )
-        ahead = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = hooked.join(ahead, "label").select("node", F.col("next").alias("label"), (F.col("moved") | (F.col("next") < F.col("label"))).alias("moved"))
-        jumped = stored(jumped, "jumped")
-        labels = jumped.select("node", "label")
-        if jumped.where("moved").isEmpty():
+        ends = rest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")).union(rest.select("a", "a").distinct())
+        hooks = _roots(stored(ends.groupBy("node").agg(F.min("label").alias("label")), "hooks"))
+        if labels is None:
+            labels = hooks
+        else:
+            over = hooks.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            labels = stored(labels.join(over, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        of = lambda end: hooks.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))  # noqa: E731, B023
+        across = rest.join(of("a"), "a").join(of("b"), "b").where(F.col("a_label") != F.col("b_label"))
+        rest = stored(across.select(*ordered("a_label", "b_label")).distinct(), "links")
+        if rest.isEmpty():
             return labels
