@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round, every node is hooked to its smallest neighbour if that is smaller, and the
     trees so made become the nodes of the next round, with the links that run between them.
-    A round leaves at most half of the nodes that still have links. Tables are written between
+    A node without a smaller neighbour gets one in the next round if its neighbours have other
+    ones, so two rounds leave at most half of the nodes. Tables are written between
     rounds, nothing but whether one is empty comes to the driver, and no node's links are ever
     gathered.
     """
