@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from statistics import NormalDist
 from typing import NamedTuple
 
 import numpy as np
@@ -38,6 +39,8 @@ from corpuslens.llm.common import TEXT_WORDS, stored, texts_of, words_of
 SAMPLE = 4000
 #: A term has at least so many different toxic contexts, and is so much more frequent there.
 LEAST_CONTEXTS, LEAST_SHARE, LEAST_RATIO = 5, 0.01, 12
+#: Chance that any word at all becomes a term without being related to the labels.
+CHANCE = 0.01
 WINDOW = 6
 CLEAN = 0.02
 KNOWN_WORDS = 200_000
@@ -226,6 +229,12 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(scan, "word string, toxic int, context bigint")
 
 
+def association(t: Column, c: Column, share: float) -> Column:
+    """Log-likelihood ratio of ``t`` toxic and ``c`` other places against ``share`` toxic ones."""
+    part = lambda n, of: F.when(n > 0, n * F.ln(n / ((t + c) * F.lit(of)))).otherwise(0.0)
+    return 2 * (part(t, share) + part(c, 1 - share))
+
+
 def learn(docs: DataFrame, labels: DataFrame, teaches: Column, sample: int = SAMPLE) -> Model:
     """A lexicon and how sure its terms are; ``teaches`` selects rows of ``labels``."""
     rows = stored(labelled_sample(docs, labels, teaches, sample), "labelled")
@@ -237,14 +246,17 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column, sample: int = SAM
     counts = _neighbours(rows).groupBy("word").agg(seen(1).alias("t"), seen(0).alias("c"))
     ratio = (F.col("t") / F.lit(toxic)) / ((F.col("c") + 0.5) / F.lit(clean))
     least = max(LEAST_CONTEXTS, math.ceil(LEAST_SHARE * toxic))
-    terms = sorted(r["word"] for r in counts.where((F.col("t") >= least) & (ratio >= LEAST_RATIO)).select("word").collect())  # bounded by the sample
+    frequent = stored(counts.where(F.col("t") >= least), "frequent-words")
+    strict = NormalDist().inv_cdf(1 - CHANCE / (2 * max(1, frequent.count()))) ** 2
+    likely = frequent.where((ratio >= LEAST_RATIO) & (association(F.col("t"), F.col("c"), toxic / (toxic + clean)) >= strict))
+    terms = sorted(r["word"] for r in likely.select("word").collect())  # bounded by the sample
     if not terms:
         return Model({})
     return Model(_sureness(rows, terms, toxic, clean))
 
 
 def _sureness(rows: DataFrame, terms: list[str], toxic: int, clean: int) -> dict[str, tuple[float, float]]:
-    """Share of toxic texts among those in which a term matches, at equal frequency of labels.
+    """Share of toxic texts among those in which a term matches.
 
     Misspellings are judged by the texts that have no term spelled right.
     """
@@ -264,8 +276,7 @@ def _sureness(rows: DataFrame, terms: list[str], toxic: int, clean: int) -> dict
     counts = {(r["term"], r["misspelled"], r["toxic"]): r["n"] for r in found.groupBy("term", "misspelled", "toxic").agg(F.count("*").alias("n")).collect()}
 
     def sure(term: str, misspelled: bool, prior: float, weight: float) -> float:
-        t = counts.get((term, misspelled, 1), 0) / toxic * (toxic + clean) / 2
-        c = counts.get((term, misspelled, 0), 0) / clean * (toxic + clean) / 2
+        t, c = counts.get((term, misspelled, 1), 0), counts.get((term, misspelled, 0), 0)
         return (t + prior * weight) / (t + c + weight)
 
     return {term: (sure(term, False, 0.9, 2), sure(term, True, 0.7, 2)) for term in terms}
