@@ -26,6 +26,7 @@ from corpuslens.functions.text import (
     blank_to_null,
     line_span,
     newline_count,
+    normalize_newlines,
     source_lines,
     trim_space,
 )
@@ -416,8 +417,12 @@ def parse_files(
     off this frame; where several are needed, make it ``durable`` first, so that the texts
     are read once.
     """
+    lined = computed_once(
+        files.withColumnRenamed("source", "_raw"),
+        source=F.when(F.contains("_raw", F.lit("\r")), normalize_newlines(F.col("_raw"))).otherwise(F.col("_raw")),
+    ).drop("_raw")
     chunked = computed_once(
-        files,
+        lined,
         # the added newline ends a line comment, so no comment's brace is a chunk's last character
         chunks=F.regexp_extract_all(F.concat("source", F.lit("\n")), F.lit(P.CHUNK), F.lit(0)),
         lines=source_lines(F.col("source")),

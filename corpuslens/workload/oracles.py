@@ -183,14 +183,14 @@ def _excerpt(names: list[str], limit: int) -> str:
 
 README, BUILD = ["README.md", "Readme.md", "readme.md"], ["build.gradle.kts", "build.gradle", "pom.xml"]
 ORACLES["excerpt_first"] = _with(SIDE) + f"""
-SELECT *, 'readme' AS kind FROM ({_excerpt(README, 100)}) UNION ALL
-SELECT *, 'build' AS kind FROM ({_excerpt(BUILD, 75)})"""
+SELECT *, 'readme' AS kind FROM ({_excerpt(README, 4000)}) UNION ALL
+SELECT *, 'build' AS kind FROM ({_excerpt(BUILD, 3000)})"""
 
 KEYED = "keyed AS (SELECT doc_id, source AS repo, text, sha256('v1:' || text) AS cache_key FROM documents)"
 ORACLES["cache_upsert"] = _with(
     KEYED,
-    "o AS (SELECT cache_key, 'old ' || min(doc_id) AS description FROM keyed WHERE doc_id % 3 = 0 GROUP BY 1)",
-    "n AS (SELECT cache_key, 'new ' || min(doc_id) AS description FROM keyed WHERE doc_id % 2 = 0 GROUP BY 1)",
+    "o AS (SELECT cache_key, 'old ' || min(doc_id) AS description FROM keyed WHERE doc_id % 3 <> 1 GROUP BY 1)",
+    "n AS (SELECT cache_key, 'new ' || min(doc_id) AS description FROM keyed WHERE doc_id % 3 <> 0 GROUP BY 1)",
 ) + "SELECT coalesce(n.cache_key, o.cache_key) AS cache_key, coalesce(n.description, o.description) AS description FROM o FULL JOIN n USING (cache_key)"
 
 # --- extraction --------------------------------------------------------------

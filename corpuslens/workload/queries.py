@@ -121,8 +121,8 @@ def commit_reanchor(spark: SparkSession, d: str) -> DataFrame:
 @query
 def excerpt_first(spark: SparkSession, d: str) -> DataFrame:
     side = X.side_files(spark, d)
-    readme = corpus.first_excerpt(side, corpus.README_CANDIDATES, 100)
-    build = corpus.first_excerpt(side, corpus.BUILD_CANDIDATES, 75)
+    readme = corpus.first_excerpt(side, corpus.README_CANDIDATES, corpus.README_LIMIT)
+    build = corpus.first_excerpt(side, corpus.BUILD_CANDIDATES, corpus.BUILD_LIMIT)
     return readme.withColumn("kind", F.lit("readme")).unionByName(
         build.withColumn("kind", F.lit("build"))
     )
@@ -137,8 +137,8 @@ def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
             F.concat(F.lit(label), F.min("doc_id")).alias("description")
         )
 
-    old = entries(keyed.filter("doc_id % 3 = 0"), "old ")
-    new = entries(keyed.filter("doc_id % 2 = 0"), "new ")
+    old = entries(keyed.filter("doc_id % 3 <> 1"), "old ")  # a third is old, a third new, a third both
+    new = entries(keyed.filter("doc_id % 3 <> 0"), "new ")
     return results.upsert_results(old, new)
 
 

@@ -292,3 +292,12 @@ def test_metric_limits(spark):
     }
     strict = {r.name for r in method_metrics(df, 7, 100).filter("high_complexity").collect()}
     assert strict == {"branchy", "many"}
+
+
+def test_lines_end_at_carriage_returns_too(spark):
+    text = "class X {\n  void a() {\n  }\n  void b() { }\n}\n"
+    found = [
+        [(m["name"], m["start_line"], m["end_line"]) for m in extract.method_table(parse(spark, t)).orderBy("method_ord").collect()]
+        for t in (text, text.replace("\n", "\r"), text.replace("\n", "\r\n"))
+    ]
+    assert found[0] == found[1] == found[2] == [("a", 2, 3), ("b", 4, 4)]

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from corpuslens.workload import oracles, queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -47,7 +48,7 @@ def test_query(spark, sql, name):
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(queries.QUERIES) == set(oracles.ORACLES)
 
 
 def test_entry(spark):
