@@ -144,15 +144,18 @@ def _links(cells: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarra
     return np.concatenate(left), np.concatenate(right)
 
 
-def near_links(fps: DataFrame, distance: int = 4, blocks: int | None = None, block_distance: int | None = None) -> DataFrame:
+def near_links(
+    fps: DataFrame, distance: int = 4, blocks: int | None = None, block_distance: int | None = None, keyed_longs: int | None = None
+) -> DataFrame:
     """(a, b): links of ``fps`` (fp, fp1 ..., distinct by fp) that differ in at most ``distance`` bits in all.
 
-    Every long is cut into blocks by itself. Keys are made for ``block_distance`` differing bits
-    in one long, by default ``distance``; with a single long that yields all links.
+    Each of the first ``keyed_longs`` longs, by default of all, is cut into blocks by itself. Keys
+    are made for ``block_distance`` differing bits in one long, by default ``distance``; with a
+    single long that yields all links. All longs count in the distance.
     """
     names = fps.columns
     masks = block_masks(0 if blocks else fps.count(), distance if block_distance is None else block_distance, blocks)
-    signed = [(c, m - (1 << 64) if m >> 63 else m) for c in names for m in masks]
+    signed = [(c, m - (1 << 64) if m >> 63 else m) for c in names[:keyed_longs] for m in masks]
     key = lambda i, c, m: F.xxhash64(F.lit(i), F.col(c).bitwiseAND(F.lit(m)))
     keyed = fps.select(*names, F.explode(F.array(*[key(i, c, m) for i, (c, m) in enumerate(signed)])).alias("key"))
     parts = F.ceil(F.col("n") / F.lit(CELL // 2)).cast("int")
@@ -184,7 +187,7 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int | None = None, blo
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4,
-    blocks: int | None = None, longs: int = 1, block_distance: int | None = None,
+    blocks: int | None = None, longs: int = 1, block_distance: int | None = None, keyed_longs: int | None = None,
 ) -> DataFrame:
     """(doc_id, row_key, fp, component_id, first_key) of each row of ``docs``.
 
@@ -195,7 +198,7 @@ def near_duplicates(
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
     more = [F.min(F.struct(*_names(longs)[1:])).alias("more")] if longs > 1 else []
     fps = stored(rows.groupBy("fp").agg(first, *more).select("fp", "first", *(["more.*"] if more else [])), "distinct-fingerprints")
-    labels = components(near_links(fps.select(*_names(longs)), distance, blocks, block_distance))
+    labels = components(near_links(fps.select(*_names(longs)), distance, blocks, block_distance, keyed_longs))
     joined = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     joined = stored(joined, "fingerprint-labels")
     leads = joined.groupBy("label").agg(F.min("first").alias("lead"))
@@ -203,17 +206,17 @@ def near_duplicates(
     return rows.join(leads, "fp").select("doc_id", "row_key", "fp", "component_id", "first_key")
 
 
-def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 32) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 62) -> DataFrame:
     """One row of each component of ``docs``, with the columns of ``docs``.
 
-    Three fingerprints are taken, and two texts are linked at 32 of their 192 bits or fewer: half
-    of the pairs that share 0.76 of their five-word shingles are, 76 in 100 at 0.8, 95 at 0.85 and
-    nearly all from 0.9. Keys are two of seven blocks of one fingerprint: pairs within 17 bits
-    have five or fewer in some fingerprint and so always meet, others by chance (0.86 at 0.8,
-    0.95 at 0.85, 0.99 at 0.9).
+    Six fingerprints are taken, and two texts are linked at 62 of their 384 bits or fewer: half
+    of the pairs that share 0.77 of their five-word shingles are, 73 in 100 at 0.8, 97 at 0.85
+    and nearly all from 0.9, but 7 in 100 at 0.7. Keys are two of seven blocks of one of the
+    first three fingerprints: pairs within 17 of their 192 bits have five or fewer in some
+    fingerprint and so always meet, others by chance (0.86 at 0.8, 0.95 at 0.85, 0.99 at 0.9).
     The row with the smallest id stays. Of rows that repeat it in id and text, one stays.
     """
-    found = near_duplicates(docs, words=words, distance=distance, blocks=7, longs=3, block_distance=5)
+    found = near_duplicates(docs, words=words, distance=distance, blocks=7, longs=6, block_distance=5, keyed_longs=3)
     keep = stored(found.where(F.col("row_key") == F.col("first_key")).select(F.col("row_key").alias("__kept")).distinct(), "kept")
     keyed = docs.withColumn("__row_key", row_key(F.col("doc_id"), F.col("text")))
     kept = keyed.join(keep, F.col("__row_key") == F.col("__kept"), "left_semi")
