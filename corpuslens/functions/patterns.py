@@ -14,9 +14,20 @@ COMMENT = f"{LINE_COMMENT}|{BLOCK_COMMENT}"
 # A look at the next character spares trying the alternatives at every place.
 MASK = rf"""(?=[/"'])(?:{COMMENT}|{STRING}|{CHAR})"""
 
-# Annotation arguments: balanced parentheses, three levels, quotes respected.
+# Annotation arguments: balanced parentheses, quotes respected. Java's expressions cannot
+# recurse, so they are written out this deep; a file that goes deeper is set aside with an error.
+ARG_LEVELS = 16
 _ARG_TEXT = rf"""[^()"']++|{STRING}|{CHAR}"""
-_ARGS = rf"\((?:{_ARG_TEXT}|\((?:{_ARG_TEXT}|\((?:{_ARG_TEXT})*+\))*+\))*+\)"
+
+
+def _arguments(levels: int) -> str:
+    inner = _ARG_TEXT
+    for _ in range(levels - 1):
+        inner = rf"{_ARG_TEXT}|\((?:{inner})*+\)"
+    return rf"\((?:{inner})*+\)"
+
+
+_ARGS = _arguments(ARG_LEVELS)
 ANNOTATION = rf"@(?!interface\b)[\w$.]++(?:\s*+{_ARGS})?+"
 ANNOTATION_PARTS = rf"@(?!interface\b)([\w$.]++)(?:\s*+({_ARGS}))?+"
 

@@ -292,11 +292,21 @@ def annotation_arguments(args: Column) -> Column:
 
 
 def _without_generics(text: Column) -> Column:
-    # Innermost angle brackets first; eight nested levels.
-    stripped = text
-    for _ in range(8):
-        stripped = F.regexp_replace(stripped, r"<[^<>]*+>", " ")
-    return F.when(F.contains(text, F.lit("<")), stripped).otherwise(text)
+    """Text outside angle brackets, however deep they nest; unbalanced text stays as it is."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth, outside = state["depth"], state["depth"] == 0
+        return F.struct(
+            F.when(piece == "<", depth + 1).when((piece == ">") & ~outside, depth - 1).otherwise(depth).alias("depth"),
+            F.when(~outside, state["out"])
+            .otherwise(F.concat(state["out"], F.when(piece == "<", F.lit(" ")).otherwise(piece)))
+            .alias("out"),
+        )
+
+    pieces = F.regexp_extract_all(text, F.lit(r"[<>]|[^<>]++"), F.lit(0))
+    folded = F.aggregate(pieces, start, step, lambda s: F.when(s["depth"] == 0, s["out"]).otherwise(text))
+    return F.when(F.contains(text, F.lit("<")), folded).otherwise(text)
 
 
 def _parameters(text: Column) -> Column:
@@ -383,6 +393,7 @@ def _describe(candidates: Column, lines: Column) -> Column:
             span["idx"].alias("idx"),
             span["is_type"].alias("is_type"),
             span["owner"].alias("owner"),
+            (noted & F.startswith(c["core"], F.lit("("))).alias("too_deep"),
             c["start_line"].alias("start_line"),
             (span["off"] + F.length(prefix)).alias("start_off"),
             F.when(first_on_line, span["end_line"])
@@ -452,12 +463,12 @@ def parse_files(
     )
     header_text = F.transform(headers, _bare)
     name = r"(?U)^{}\s+(?:static\s+)?([\w$.\s]+?)\s*(?:\.\s*\*)?\s*;$"
+    too_deep = F.when(F.exists("decls", lambda d: d["too_deep"]), "annotation nested too deep")
     described = computed_once(
         folded,
-        problem=reason,
         header=header_text,
         decls=_describe(_candidates(F.col("fold.spans"), F.col("chunks")), F.col("lines")),
-    )
+    ).withColumn("problem", F.coalesce(reason, too_deep))
     sound = F.col("problem").isNull()
     no_decls = F.slice("decls", 1, 0)
     ordered = computed_once(
@@ -498,9 +509,16 @@ class _Wanted:
     loc_limit: int
 
 
+def _checked_order(file_ord: Column) -> Column:
+    """``file_ord``, or an error where keys made of it would collide."""
+    message = F.concat(F.lit("file_ord has to be from 0 to below 2^35, see number_sources: "), file_ord.cast("string"))
+    fits = (file_ord >= 0) & (file_ord < F.lit(1 << (63 - ORD_BITS)))
+    return F.when(file_ord.isNull() | fits, file_ord).otherwise(F.raise_error(message).cast("bigint"))
+
+
 def _type_facts(t: Column, i: Column, wanted: _Wanted) -> Column:
     fields = [
-        (F.shiftleft(F.col("file_ord"), ORD_BITS) + i).alias("type_ord"),
+        (F.shiftleft(_checked_order(F.col("file_ord")), ORD_BITS) + i).alias("type_ord"),
         t["name"].alias("class_name"),
         t["kind"].alias("kind"),
         t["annotations"].alias("annotations"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions.durable import durable
 from corpuslens.functions.text import decode_lenient, normalize_newlines, path_sort_key
 
 MAIN_ROOT = "src/main/java/"
@@ -66,6 +67,26 @@ def select_sources(files: DataFrame, include_tests: bool = False) -> DataFrame:
     )
 
 
+def number_sources(files: DataFrame) -> DataFrame:
+    """(repo, file_path, file_ord) of files(repo, file_path, ...): places in repo, then selection order.
+
+    Numbers have no gaps, so they stay below the number of files. Paths alone are sorted, by
+    ranges in parallel; only one row a range is summed up in a single task.
+    """
+    keyed = files.select("repo", "file_path", file_order(F.col("file_path")).alias("_key"))
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = durable(
+        keyed.repartitionByRange("repo", "_key")
+        .sortWithinPartitions("repo", "_key")
+        .select("repo", "file_path", F.spark_partition_id().alias("_part"), within.alias("_at"))
+    )
+    so_far = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before")
+    )
+    return ranged.join(before, "_part").select("repo", "file_path", (F.col("_before") + F.col("_at")).alias("file_ord"))
+
+
 def cap_sources(files: DataFrame, max_files: int | None, salts: int = 64) -> DataFrame:
     """First ``max_files`` of each repo in selection order; None keeps all, 0 none.
 

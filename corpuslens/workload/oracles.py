@@ -157,6 +157,10 @@ ORACLES["corpus_capped"] = _with(FILES) + """
 SELECT repo, file_path FROM (SELECT repo, file_path, row_number() OVER (PARTITION BY repo
   ORDER BY file_path LIKE 'src/test/java/%', string_split(file_path, '/')) AS rn FROM files) WHERE rn <= 20"""
 
+ORACLES["corpus_order"] = _with(FILES) + """
+SELECT repo, file_path, row_number() OVER (ORDER BY repo, file_path LIKE 'src/test/java/%',
+  string_split(file_path, '/')) - 1 AS file_ord FROM files"""
+
 ORACLES["lenient_decode"] = """
 SELECT doc_id, CAST(length(text) + 1 AS BIGINT) AS chars, md5(chr(65533) || text) AS digest FROM documents"""
 

@@ -88,6 +88,12 @@ def corpus_capped(spark: SparkSession, d: str) -> DataFrame:
     return corpus.cap_sources(chosen, 20).select("repo", "file_path")
 
 
+@query
+def corpus_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every file among all files."""
+    return corpus.number_sources(X.part_paths(spark, d))
+
+
 @query
 def lenient_decode(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of every document with one bad byte put in front."""

@@ -1,10 +1,12 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import mask_code, normalize_newlines, source_lines
 from corpuslens.operators import extract
 from corpuslens.operators.metrics import cyclomatic, method_metrics
+from corpuslens.sources import corpus
 from tests import samples
 
 
@@ -301,3 +303,30 @@ def test_lines_end_at_carriage_returns_too(spark):
         for t in (text, text.replace("\n", "\r"), text.replace("\n", "\r\n"))
     ]
     assert found[0] == found[1] == found[2] == [("a", 2, 3), ("b", 4, 4)]
+
+
+def test_nesting_has_no_silent_end(spark):
+    deep = lambda n, a, b, core: a * n + core + b * n
+    generics = "class A { void a(" + deep(10, "M<", ">", "X") + " x) { } void b() { } boolean c = 1 < 2 || f(3 > 2); }"
+    arguments = "class B { @P" + deep(5, "(a", ")", "1") + " void a() { } }"
+    too_deep = "class C { @P" + deep(20, "(a", ")", "1") + " void a() { } void b() { } }"
+    p = parse(spark, generics, arguments, too_deep)
+    assert sorted(m.signature for m in extract.method_table(p).collect()) == ["void a()", "void a(M x)", "void b()"]
+    (error,) = extract.file_errors(p).collect()
+    assert error.file_ord == 2 and error.error.endswith("annotation nested too deep")
+
+
+def test_orders_that_would_collide_are_refused(spark):
+    rows = [("r", 5 + (8 << 33), "A.java", "class A { }")]
+    table = spark.createDataFrame(rows, "repo string, file_ord bigint, file_path string, source string")
+    with pytest.raises(Exception, match="file_ord has to be"):
+        extract.type_table(extract.parse_files(table)).collect()
+
+
+def test_files_are_numbered_in_selection_order(spark):
+    paths = [(r, f"{root}{k}/F{i}.java") for r in "ab" for root in ("src/test/java/", "lib/", "src/main/java/") for k in "yx" for i in (2, 1)]
+    table = spark.createDataFrame(paths, "repo string, file_path string").repartition(7)
+    rank = lambda p: 0 if p.startswith("src/main") else 1 if p.startswith("src/test") else 2
+    found = sorted((r.file_ord, r.repo, r.file_path) for r in corpus.number_sources(table).collect())
+    assert found == [(i, r, p) for i, (r, p) in enumerate(sorted(paths, key=lambda x: (x[0], rank(x[1]), x[1].split("/"))))]
+    assert corpus.number_sources(table.limit(0)).count() == 0

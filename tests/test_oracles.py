@@ -14,7 +14,7 @@ TABLES = (
 ).split()
 # One of each kind; the whole list is compared by the driver of the repository.
 NAMES = (
-    "corpus_capped", "lenient_decode", "commit_touches", "excerpt_first", "cache_upsert", "masked_source", "method_decls",
+    "corpus_capped", "corpus_order", "lenient_decode", "commit_touches", "excerpt_first", "cache_upsert", "masked_source", "method_decls",
     "annotations", "doc_comment", "rest_routes", "findings_all", "match_lines", "dep_fan_in", "hotspots", "render_prompt",
     "greedy_batches", "oversized_split", "cache_stats", "enrich_batches", "json_repair", "fragment_merge", "overview_input",
     "analysis_doc", "endpoint_preview",
