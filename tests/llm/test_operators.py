@@ -281,6 +281,28 @@ def test_near_copies_by_six_fingerprints(spark):
     assert len(set(label)) == 60 and all(kin[x] == kin[i] for i, x in enumerate(label))
 
 
+def test_near_duplicates_by_exact_similarity(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 4)
+    rng = np.random.default_rng(9)
+    texts = []
+    for group in range(24):  # edits that leave similarities around 0.8; the last group is large
+        own = [f"w{x}" for x in rng.integers(0, 5000, 200 if group else 12)]
+        for copy in range(8 if group < 23 else 40):
+            edited = list(own)
+            for at in rng.choice(len(own), int(rng.integers(1, 8)) if group else copy % 2, replace=False):
+                edited[at] = f"e{rng.integers(0, 9)}"
+            texts.append(" ".join(edited))
+    texts.append(texts[8] + (" " + texts[8].split()[0]) * 400)  # a repeated shingle counts once in a set
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    near = [[j for j in range(len(texts)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in range(len(texts))]
+    label = list(range(len(texts)))
+    for _ in range(40):
+        label = [min(label[j] for j in js) for js in near]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.without_near_duplicates(docs).collect()} == set(label)
+    assert 24 < len(set(label)) < len(texts)
+
+
 # --- 5 -----------------------------------------------------------------------------------
 
 
