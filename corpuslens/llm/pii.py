@@ -35,7 +35,7 @@ _SHAPES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?:[Pp]assword|PASSWORD|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API_KEY)[ \t]{0,2}[=:][ \t]{0,2}[\"']?[0-9a-f]{12,128}" + _NOT_BEFORE,
     "ip": r"(?<![A-Za-z0-9_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[A-Za-z0-9_])",
-    "date": _NOT_AFTER + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _NOT_BEFORE,
+    "date": _NOT_AFTER + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?:" + _NOT_BEFORE + r"|(?=[Tt][0-9]{2}|Z" + _NOT_BEFORE + "))",
     "iban": _NOT_AFTER + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _NOT_BEFORE,
     "phone": r"(?<![A-Za-z0-9_+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}" + _NOT_BEFORE + r"|(?<![A-Za-z0-9_)])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}" + _NOT_BEFORE + "|" + _NOT_AFTER + r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}" + _NOT_BEFORE,
     "ssn": r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])",
@@ -43,7 +43,7 @@ _SHAPES = {
 }
 PATTERN = "|".join(f"(?:{_SHAPES[k]})" for k in KINDS)
 #: Cheap test that a text may have a value at all.
-HINT = r"[0-9]|@"
+HINT = r"[0-9]|@|[=:][ \t]{0,2}[\"']?[a-f]{12}"
 ROUNDS = 12
 #: Days from 1900 to 2099: 73,049 = 17 * 4,297.
 FIRST_DAY, DAY_SIDES = "1900-01-01", (17, 4297)

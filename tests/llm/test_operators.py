@@ -146,6 +146,13 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_dates_before_times_and_secrets_of_letters(spark):
+    texts = ["2024-01-15", "at 2024-01-15T10:00:00Z", "2024-01-15Z", "token=abcdefabcdef"]
+    out = [r["text"] for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out[0] != texts[0] and out[1:3] == [f"at {out[0]}T10:00:00Z", f"{out[0]}Z"]
+    assert out[3] != texts[3] and out[3].startswith("token=")
+
+
 def test_pseudonyms_are_permutations(spark):
     digits = spark.range(1000).select(pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0"), pii.DIGITS, F.lit("k")).alias("x"))
     assert digits.distinct().count() == 1000 and digits.where(F.length("x") != 3).isEmpty()
