@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import decontaminate, language, licenses, ngram_lm, packing, pii, quality, sharding, simhash, toxicity
+from corpuslens.llm import decontaminate, exact_dedup, language, licenses, ngram_lm, packing, pii, quality, sharding, simhash, toxicity
 from corpuslens.llm.common import remainder_of_id
 
 SHARDS = 40
@@ -80,10 +80,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_decontaminate, op2_pii, op3_quality, op4_simhash, op5_language_model, op6_language, op7_sharding, op8_packing, op9_toxicity, op10_licenses,
+        op1_decontaminate, op2_pii, op3_quality, op4_simhash, op5_language_model, op6_language, op7_sharding, op8_packing, op9_toxicity, op10_licenses, op13_exact_dedup,
     )
 }
 
@@ -132,4 +136,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
             OR 10 * n_dup_lines > 3 * n_lines OR 10 * n_shouted > 3 * n_words OR 10 * n_lettered < 7 * n_words OR 10 * n_most > 3 * n_words) AS kept
 FROM facts""",
+    "op13_exact_dedup": r"""
+WITH doc AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+ranked AS (
+    SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS n,
+           row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) AS k
+    FROM doc
+)
+SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM ranked""",
 }
