@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import stored
+from corpuslens.llm.common import chunks, stored
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-CHUNK_BYTES = 1 << 16
+CHUNK_BYTES = 1 << 13
+#: bytes hashed at once in a task: its 64-bit temporaries take eight times as much
+SLICE_BYTES = 1 << 20
 #: two Mersenne-sized primes and bases: 62 bits of fingerprint beside the byte length
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 911382323)
@@ -101,14 +103,15 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = chunk.cast(pa.large_binary())
         _, ends, data = chunk.buffers()
         offsets = np.frombuffer(ends, dtype=np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
-        offsets = offsets - offsets[0]
         raw = np.zeros(0, dtype=np.uint8) if data is None else np.frombuffer(data, dtype=np.uint8)
-        base = int(np.frombuffer(ends, dtype=np.int64)[chunk.offset]) if len(chunk) else 0
-        raw = raw[base : base + int(offsets[-1])] if len(chunk) else raw[:0]
         index = batch.column("__j").to_numpy(zero_copy_only=False)
-        more = {f"__t{k + 1}": pa.array(shift(chunk_hashes(raw, offsets, k), index, k)) for k in range(2)}
+        out = [np.zeros(len(chunk), dtype=np.int64) for _ in range(2)]
+        for low, high in chunks(offsets, SLICE_BYTES):
+            part = raw[offsets[low] : offsets[high]]
+            for k in range(2):
+                out[k][low:high] = shift(chunk_hashes(part, offsets[low : high + 1] - offsets[low], k), index[low:high], k)
         names = [n for n in batch.schema.names if n != "__chunk"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *more.values()], names=[*names, *more])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *map(pa.array, out)], names=[*names, "__t1", "__t2"])
 
 
 def _chunks(rows: DataFrame, keep: list[str]) -> DataFrame:
