@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import decontaminate, exact_dedup, language, licenses, ngram_lm, packing, pii, quality, sharding, simhash, toxicity
+from corpuslens.llm import decontaminate, exact_dedup, phrases, language, licenses, ngram_lm, packing, pii, quality, sharding, simhash, toxicity
 from corpuslens.llm.common import remainder_of_id
 
 SHARDS = 40
@@ -80,6 +80,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(_table(spark, sf_dir, "documents"))
 
@@ -87,7 +91,8 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_decontaminate, op2_pii, op3_quality, op4_simhash, op5_language_model, op6_language, op7_sharding, op8_packing, op9_toxicity, op10_licenses, op13_exact_dedup,
+        op1_decontaminate, op2_pii, op3_quality, op4_simhash, op5_language_model, op6_language, op7_sharding, op8_packing, op9_toxicity, op10_licenses, op11_phrases,
+        op13_exact_dedup,
     )
 }
 
@@ -144,4 +149,32 @@ ranked AS (
     FROM doc
 )
 SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM ranked""",
+    "op11_phrases": r"""
+WITH doc AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+piece AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM doc),
+word AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, sum(len(w)) AS n FROM word GROUP BY lang),
+gram AS (
+    SELECT lang, list_slice(w, s, s + m - 1) AS ph
+    FROM word, (SELECT unnest([1, 2, 3, 4]) AS m) AS sizes, LATERAL unnest(range(1, len(w) - m + 2)) AS x(s)
+),
+freq AS (SELECT lang, ph, count(*) AS f FROM gram GROUP BY lang, ph),
+cand AS (SELECT lang, ph, f AS a FROM freq WHERE len(ph) >= 2 AND f >= 30),
+cut AS (SELECT lang, ph, a, k, list_slice(ph, 1, k) AS lp, list_slice(ph, k + 1, len(ph)) AS rp FROM cand, LATERAL unnest(range(1, len(ph))) AS x(k)),
+scored AS (
+    SELECT cut.lang, cut.ph, cut.a, k, fl.f AS l, fr.f AS r, CAST((2000000 * CAST(cut.a AS HUGEINT)) // (fl.f + fr.f) AS BIGINT) AS score
+    FROM cut JOIN freq AS fl ON fl.lang = cut.lang AND fl.ph = cut.lp JOIN freq AS fr ON fr.lang = cut.lang AND fr.ph = cut.rp
+),
+weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) AS o FROM scored) WHERE o = 1),
+kept AS (
+    SELECT * FROM weakest AS c WHERE NOT EXISTS (
+        SELECT 1 FROM cand AS y WHERE y.lang = c.lang AND len(y.ph) > len(c.ph) AND 100 * y.a >= 80 * c.a
+          AND (list_slice(y.ph, 1, len(c.ph)) = c.ph OR list_slice(y.ph, 2, len(c.ph) + 1) = c.ph OR list_slice(y.ph, 3, len(c.ph) + 2) = c.ph)
+    )
+),
+ranked AS (SELECT *, array_to_string(ph, ' ') AS phrase FROM kept),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked)
+SELECT top.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(total.n AS BIGINT) AS n, score
+FROM top JOIN total USING (lang) WHERE rank <= 2000""",
 }
