@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import decontaminate, exact_dedup, phrases, language, licenses, ngram_lm, packing, pii, quality, sharding, simhash, toxicity
+from corpuslens.llm import decontaminate, exact_dedup, negatives, phrases, language, licenses, ngram_lm, packing, pii, quality, sharding, simhash, toxicity
 from corpuslens.llm.common import remainder_of_id
 
 SHARDS = 40
@@ -84,6 +84,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(_table(spark, sf_dir, "documents"))
 
@@ -92,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_pii, op3_quality, op4_simhash, op5_language_model, op6_language, op7_sharding, op8_packing, op9_toxicity, op10_licenses, op11_phrases,
-        op13_exact_dedup,
+        op12_negatives, op13_exact_dedup,
     )
 }
 
@@ -177,4 +181,27 @@ top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DE
 SELECT top.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
        CAST(total.n AS BIGINT) AS n, score
 FROM top JOIN total USING (lang) WHERE rank <= 2000""",
+    "op12_negatives": r"""
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM (SELECT DISTINCT vec_id, label, embedding FROM embeddings)
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pair AS (
+    SELECT a.vec_id AS anchor_id, a.label AS al, v.vec_id, v.label,
+           CAST(list_sum(list_transform(range(1, greatest(len(a.e), len(v.e)) + 1), lambda i: coalesce(a.e[i], 0) * coalesce(v.e[i], 0))) AS BIGINT) AS s
+    FROM v AS a JOIN v ON a.vec_id IS DISTINCT FROM v.vec_id OR a.label <> v.label OR a.e <> v.e
+    WHERE a.vec_id % 100 = 0
+),
+pos AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id NULLS LAST) AS k FROM pair WHERE label = al) WHERE k <= 5
+),
+neg AS (
+    SELECT pos.anchor_id, pos.vec_id AS positive_id, pos.s AS positive_score, pair.vec_id AS negative_id, pair.s AS negative_score,
+           row_number() OVER (PARTITION BY pos.anchor_id, pos.vec_id ORDER BY pair.s DESC, pair.vec_id NULLS LAST) AS rank
+    FROM pos JOIN pair ON pair.anchor_id = pos.anchor_id AND pair.label <> pos.al
+    WHERE 30 * pos.s <= 100 * pair.s AND 100 * pair.s <= 90 * pos.s
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10""",
 }
