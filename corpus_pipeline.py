@@ -1,4 +1,4 @@
-"""A corpus through five stages: toxicity, near-duplicates, decontamination, personal data, packing.
+"""A corpus through five stages: toxicity, SimHash near-duplicates, decontamination, personal data, packing.
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the last
 return the columns of ``documents``.
@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuslens.llm import decontaminate, packing, pii, simhash, toxicity
-from corpuslens.llm.common import stored
+from corpuslens.llm.common import free_name, row_key, stored
 from corpuslens.llm.queries import toxicity_model
 
 
@@ -21,8 +22,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return simhash.without_near_duplicates(docs)
+    """One document of each group of SimHash near-duplicates: the group's row with the smallest id.
+
+    Groups are the components of op4's operator: fingerprints of 4-word shingles that differ in
+    at most 4 bits are linked. Of rows repeating that row in id and text, one stays.
+    """
+    found = simhash.near_duplicates(docs, words=4, distance=4)
+    leads = found.where(F.col("row_key") == F.col("first_key")).select(F.col("row_key").alias("lead")).distinct()
+    key = free_name(docs, "__row_key")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    kept = keyed.join(leads, keyed[key] == leads["lead"], "left_semi")
+    return kept.dropDuplicates([key]).drop(key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by pseudonyms of the same format."""
-    return pii.pseudonymised(docs).select(*docs.columns)
+    return pii.pseudonymised(docs, found_as=free_name(docs, "pii")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,6 +75,14 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(F.md5(text.cast("binary")), F.lit("-")))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores before it until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def remainder_of_id(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a missing id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

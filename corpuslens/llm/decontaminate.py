@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import TEXT_WORD_PATTERN, TEXT_WORDS, ascii_lower, row_key, stored, utf8, words_of
+from corpuslens.llm.common import TEXT_WORD_PATTERN, TEXT_WORDS, ascii_lower, row_key, stored, utf8, words_of, free_name
 
 SPANS = "array<struct<at:bigint,size:int,words:string>>"
 #: The bit table has about 64 bits a shingle and no more than 2^27 bits (16 MB).
@@ -225,5 +225,6 @@ def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents, with their columns."""
     judged = contamination(docs, items)
     bad = stored(judged.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("row_key").distinct(), "contaminated")
-    keyed = docs.withColumn("__row_key", row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(bad, keyed["__row_key"] == bad["row_key"], "left_anti").drop("__row_key")
+    key = free_name(docs, "__row_key")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(bad, keyed[key] == bad["row_key"], "left_anti").drop(key)

@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import free_name
+
 from corpuslens.functions.durable import computed_once, let
 
 KEY = "change this key"
@@ -249,9 +251,14 @@ def _rebuilt(text: Column, found: Column) -> Column:
     return F.array_join(F.transform(pairs, lambda p: F.concat(p["between"], F.coalesce(p["pseudonym"], F.lit("")))), "")
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with values in ``text`` replaced, and ``pii``: (kind, value, pseudonym) of those replaced."""
-    found = computed_once(docs, __found=found_values(F.col(text), key))
-    new = F.when(F.size("__found") > 0, _rebuilt(F.col(text), F.col("__found"))).otherwise(F.col(text))
-    others = [new.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "pii"]
-    return found.select(*others, F.filter("__found", lambda x: x["value"] != x["pseudonym"]).alias("pii"))
+def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY, found_as: str = "pii") -> DataFrame:
+    """``docs`` with values in ``text`` replaced, and ``found_as``: (kind, value, pseudonym) of those replaced.
+
+    A column of ``docs`` named ``found_as`` is replaced by the findings; pass a name that
+    ``docs`` does not have (see ``common.free_name``) to keep all of its columns.
+    """
+    inner = free_name(docs, "__found")
+    found = computed_once(docs, **{inner: found_values(F.col(text), key)})
+    new = F.when(F.size(inner) > 0, _rebuilt(F.col(text), F.col(inner))).otherwise(F.col(text))
+    others = [new.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != found_as]
+    return found.select(*others, F.filter(inner, lambda x: x["value"] != x["pseudonym"]).alias(found_as))
