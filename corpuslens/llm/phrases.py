@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuslens.llm.common import Words, _lower_bytes, utf8
+from corpuslens.llm.common import Words, _lower_bytes, stored, utf8
 from corpuslens.llm.common import chunks as row_ranges
 
 #: fixed values of the contract
@@ -40,8 +40,9 @@ PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 MIN_COUNT, LONGEST, TOP, SCALE = 30, 4, 2000, 2000000
 SHARE = (80, 100)  # a longer candidate absorbs one whose count it reaches 80 in 100 of
 
-BURST = 1 << 18
-BUDGET = 1 << 22
+#: entries of a container before it bursts, and of a task's trie before it spills (48 bytes each)
+BURST = 1 << 16
+BUDGET = 1 << 20
 PREFIX_BITS = 6
 #: a language's candidates are ranked in so many parts first, so that no task sorts them all
 SPREAD = 64
@@ -231,6 +232,17 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(key)
             keys = np.concatenate(parts)
             yield from trie.add(keys, np.ones(len(keys), dtype=np.int64))
+            # words of each language, as phrase length -1
+            totals = np.bincount(code[words.rows], minlength=len(trie.langs)) if len(words.rows) else np.zeros(0, dtype=np.int64)
+            used = np.flatnonzero(totals)
+            if len(used):
+                names = {v: k for k, v in trie.langs.items()}
+                zeros = pa.array(np.zeros(len(used), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[int(c)] for c in used], pa.string()), pa.array(np.full(len(used), -1, dtype=np.int8)), *([zeros] * LONGEST),
+                     pa.array(totals[used].astype(np.int64)), pa.nulls(len(used), pa.string())],
+                    schema=RUN_SCHEMA,
+                )
             # the text of each word id, once a task and language
             pairs, first = np.unique(np.stack([code[words.rows], ids], axis=1), axis=0, return_index=True) if len(ids) else (ids, ids)
             new = [(int(c), int(w), int(i)) for (c, w), i in zip(pairs, first) if (int(c), int(w)) not in seen]
@@ -255,7 +267,8 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Occurrences of every phrase of one to four words, per language, and the words' texts.
 
-    Rows with ``n`` 0 name a word id: ``w1`` and its text ``word``; the others count phrases.
+    Rows with ``n`` 0 name a word id: ``w1`` and its text ``word``; rows with ``n`` -1 hold a
+    language's number of words in ``f``; the others count phrases.
     """
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     runs = rows.mapInArrow(_count_runs, "lang string, n byte, w1 long, w2 long, w3 long, w4 long, count long, word string")
@@ -280,7 +293,9 @@ def _first_of(rows: DataFrame, top: int, *order: Column) -> DataFrame:
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP, least: int = MIN_COUNT) -> DataFrame:
     """The first ``top`` collocations per language: lang, rank, phrase, a, l, r, n, score."""
     counts = counted(docs, text, lang)
-    totals = counts.where(F.col("n") == 1).groupBy("lang").agg(F.sum("f").alias("total"))
+    # written once: what later steps read of the counts, so that the texts are scanned once
+    counts = stored(counts.where((F.col("n") <= 0) | (F.col("f") >= least)), "phrase-counts")
+    totals = counts.where(F.col("n") == -1).select("lang", F.col("f").alias("total"))
     frequent = counts.where((F.col("n") >= 1) & (F.col("f") >= least)).select("lang", "n", *WORDS, "f")
     names = counts.where(F.col("n") == 0).select("lang", F.col("w1").alias("id"), "word")
     candidates = frequent.where(F.col("n") >= 2).select("lang", "n", *WORDS, F.col("f").alias("a"))
