@@ -41,8 +41,10 @@ MIN_COUNT, LONGEST, TOP, SCALE = 30, 4, 2000, 2000000
 SHARE = (80, 100)  # a longer candidate absorbs one whose count it reaches 80 in 100 of
 
 #: entries of a container before it bursts, and of a task's trie before it spills (48 bytes each)
-BURST = 1 << 16
-BUDGET = 1 << 20
+BURST = 1 << 14
+BUDGET = 1 << 18
+#: bytes of text whose phrases are made at once
+STRETCH = 1 << 19
 PREFIX_BITS = 6
 #: a language's candidates are ranked in so many parts first, so that no task sorts them all
 SPREAD = 64
@@ -151,8 +153,15 @@ class Container:
             yield self.keys, self.counts
 
 
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort(keys.T[::-1])
+    """Equal keys summed. Keys are ordered by a 64-bit mix of their columns; where two keys
+    share a mix they may stay apart, which the merge in Spark, by whole keys, makes good."""
+    with np.errstate(over="ignore"):
+        mix = keys.view(np.uint64) @ _MIX[: keys.shape[1]] if len(keys) else np.zeros(0, dtype=np.uint64)
+    order = np.argsort(mix, kind="stable")
     keys, counts = keys[order], counts[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = np.any(keys[1:] != keys[:-1], axis=1)
@@ -160,6 +169,22 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts[:0]
 
 
+def _langs(codes: np.ndarray, names: dict[int, str]) -> pa.Array:
+    """Language names of codes, decoded by Arrow."""
+    table = pa.array([names[k] for k in range(len(names))], pa.string())
+    return pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int32)), table).cast(pa.string())
+
+
+def _spelled(words: Words, at: np.ndarray) -> pa.Array:
+    """The words at ``at`` as a string array, gathered without a Python loop."""
+    starts, ends = words.starts[at], words.ends[at]
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    index = np.repeat(starts - offsets[:-1], lengths) + np.arange(int(offsets[-1]), dtype=np.int64)
+    data = words.data[index]
+    return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())
+
+
 class PhraseTrie:
     """Per task: languages, then the first word's top bits, then bursting containers."""
 
@@ -200,7 +225,7 @@ class PhraseTrie:
 def _run(keys: np.ndarray, counts: np.ndarray, names: dict[int, str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([names[int(x)] for x in keys[:, 0]], pa.string()),
+            _langs(keys[:, 0], names),
             pa.array(keys[:, 1].astype(np.int8)),
             *(pa.array(keys[:, 2 + k]) for k in range(LONGEST)),
             pa.array(counts),
@@ -212,11 +237,11 @@ def _run(keys: np.ndarray, counts: np.ndarray, names: dict[int, str]) -> pa.Reco
 
 def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trie = PhraseTrie()
-    seen: set[tuple[int, int]] = set()
+    seen: dict[int, np.ndarray] = {}  # word ids whose text is out, sorted, per language
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         data, offsets = utf8(batch.column("text"))
-        for low, high in row_ranges(offsets):
+        for low, high in row_ranges(offsets, STRETCH):
             base = offsets[low]
             words = PieceWords(data[base : offsets[high]], offsets[low : high + 1] - base)
             code = np.array([trie.langs.setdefault(x or "und", len(trie.langs)) for x in langs[low:high]], dtype=np.int64)
@@ -239,25 +264,32 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names = {v: k for k, v in trie.langs.items()}
                 zeros = pa.array(np.zeros(len(used), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[int(c)] for c in used], pa.string()), pa.array(np.full(len(used), -1, dtype=np.int8)), *([zeros] * LONGEST),
+                    [_langs(used, names), pa.array(np.full(len(used), -1, dtype=np.int8)), *([zeros] * LONGEST),
                      pa.array(totals[used].astype(np.int64)), pa.nulls(len(used), pa.string())],
                     schema=RUN_SCHEMA,
                 )
             # the text of each word id, once a task and language
-            pairs, first = np.unique(np.stack([code[words.rows], ids], axis=1), axis=0, return_index=True) if len(ids) else (ids, ids)
-            new = [(int(c), int(w), int(i)) for (c, w), i in zip(pairs, first) if (int(c), int(w)) not in seen]
-            if new:
-                seen.update((c, w) for c, w, _ in new)
+            new_at = []
+            row_code = code[words.rows] if len(ids) else ids
+            for c in np.unique(row_code).tolist():
+                mine = np.flatnonzero(row_code == c)
+                fresh, first = np.unique(ids[mine], return_index=True)
+                old = seen.get(c, np.zeros(0, dtype=np.int64))
+                unseen = ~np.isin(fresh, old, assume_unique=True)
+                seen[c] = np.union1d(old, fresh[unseen])
+                new_at.append(mine[first[unseen]])
+            new = np.concatenate(new_at) if new_at else np.zeros(0, dtype=np.int64)
+            if len(new):
                 names = {v: k for k, v in trie.langs.items()}
                 zeros = pa.array(np.zeros(len(new), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([names[c] for c, _, _ in new], pa.string()),
+                        _langs(row_code[new], names),
                         pa.array(np.zeros(len(new), dtype=np.int8)),
-                        pa.array([w for _, w, _ in new], pa.int64()),
+                        pa.array(ids[new]),
                         *([zeros] * (LONGEST - 1)),
                         zeros,
-                        pa.array([words.text(i, i + 1) for _, _, i in new], pa.string()),
+                        _spelled(words, new),
                     ],
                     schema=RUN_SCHEMA,
                 )
