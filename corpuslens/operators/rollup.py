@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions.durable import growing
 from corpuslens.operators.scans import SEVERITIES
 
 
@@ -140,7 +141,7 @@ def hotspot_detail(ranked: DataFrame, types: DataFrame, churn: DataFrame) -> Dat
     chosen = _last_by_name(types, names, "file_path", "heavy_methods")
     return (
         names.join(chosen, ["repo", "class_name"])
-        .join(churn, ["repo", "file_path"])
+        .join(growing(churn), ["repo", "file_path"])
         .select(
             "repo",
             "rank",
@@ -224,7 +225,7 @@ def findings_overview(
         "finding_ord",
         "severity",
         finding_text(F.col("message"), F.col("line")).alias("text"),
-    ).join(names, ["repo", "type_ord"])
+    ).join(growing(names), ["repo", "type_ord"])
     in_type = Window.partitionBy("repo", "type_ord").orderBy("seen")
     labelled = aspects.withColumn("category", aspect_category(F.col("aspect"))).withColumn(
         "item_ord", F.row_number().over(in_type) - 1
@@ -235,14 +236,14 @@ def findings_overview(
     )
     notable = (
         labelled.join(ranks, ["repo", "category"])
-        .join(names, ["repo", "type_ord"])
+        .join(growing(names), ["repo", "type_ord"])
         .withColumn("text", F.col("aspect"))
     )
     return (
         rows(security, 0, F.col("finding_ord"), severity_rank(F.col("severity")), F.initcap("severity"), own)
         .unionByName(rows(hotspot_rows, 1, F.col("rank")))
         .unionByName(rows(relied_upon, 2, F.col("rank")))
-        .unionByName(rows(heavy.join(names, ["repo", "type_ord"]), 3, F.col("method_ord"), type_ord=own))
+        .unionByName(rows(heavy.join(growing(names), ["repo", "type_ord"]), 3, F.col("method_ord"), type_ord=own))
         .unionByName(rows(notable, 4, F.col("item_ord"), F.col("group_rank"), F.col("category"), own))
     )
 
