@@ -1,6 +1,11 @@
 """Collocations: phrases of two to four words that occur together far more than their parts.
 
-Counting is a HAT-trie per task: word ids (64-bit hashes of the word bytes) form a shallow
+Counting goes by length, in three passes over the texts: words, then pairs, then phrases of three
+and four. A phrase occurs no more often than its parts, so a pass lets through only phrases whose
+words (then: pairs) may be frequent by a bit table, of bounded size, of the frequent ones of the
+pass before. The table may let others through, which their counts drop; it never holds one back.
+
+Each pass counts in a HAT-trie per task: word ids (64-bit hashes of the word bytes) form a shallow
 trie on the first word of each phrase, per language; under each trie node lies a hash
 container of (phrase, count) that bursts into 64 children by the next bits of the first word
 when it grows past ``BURST`` entries. When a task holds more than ``BUDGET`` entries it spills
@@ -18,21 +23,23 @@ contiguously in a longer candidate that occurs at least ``SHARE`` of its own cou
 ``TOP`` per language by score, ``a`` (both descending) and phrase (ascending, UTF-8 bytes)
 are returned. Empty tables give no rows; other columns of ``docs`` are ignored.
 
-Word ids are checked: two words of one language with the same id raise an error, so a
-collision can never merge two phrases silently.
+Word ids are checked: two words of one language that share the id of a frequent word raise an
+error, so a collision can never merge two phrases silently.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuslens.llm.common import Words, _lower_bytes, stored, utf8
+from corpuslens.llm.common import Words, _lower_bytes, mixed, stored, utf8
 from corpuslens.llm.common import chunks as row_ranges
 
 #: fixed values of the contract
@@ -46,6 +53,8 @@ BUDGET = 1 << 18
 #: bytes of text whose phrases are made at once
 STRETCH = 1 << 19
 PREFIX_BITS = 6
+#: The bit table has about 64 bits a frequent phrase and no more than 2^27 bits (16 MB).
+BITS_PER_PHRASE, MOST_BITS = 64, 27
 #: a language's candidates are ranked in so many parts first, so that no task sorts them all
 SPREAD = 64
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
@@ -235,80 +244,156 @@ def _run(keys: np.ndarray, counts: np.ndarray, names: dict[int, str]) -> pa.Reco
     )
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trie = PhraseTrie()
-    seen: dict[int, np.ndarray] = {}  # word ids whose text is out, sorted, per language
-    for batch in batches:
-        langs = batch.column("lang").to_pylist()
-        data, offsets = utf8(batch.column("text"))
-        for low, high in row_ranges(offsets, STRETCH):
-            base = offsets[low]
-            words = PieceWords(data[base : offsets[high]], offsets[low : high + 1] - base)
-            code = np.array([trie.langs.setdefault(x or "und", len(trie.langs)) for x in langs[low:high]], dtype=np.int64)
-            ids = words.hashes.view(np.int64)
-            parts = []
-            for n in range(1, LONGEST + 1):
-                at = words.phrases(n)
-                key = np.zeros((len(at), 2 + LONGEST), dtype=np.int64)
-                key[:, 0] = code[words.rows[at]] if len(at) else 0
-                key[:, 1] = n
-                for k in range(n):
-                    key[:, 2 + k] = ids[at + k]
-                parts.append(key)
-            keys = np.concatenate(parts)
-            yield from trie.add(keys, np.ones(len(keys), dtype=np.int64))
-            # words of each language, as phrase length -1
-            totals = np.bincount(code[words.rows], minlength=len(trie.langs)) if len(words.rows) else np.zeros(0, dtype=np.int64)
-            used = np.flatnonzero(totals)
-            if len(used):
-                names = {v: k for k, v in trie.langs.items()}
-                zeros = pa.array(np.zeros(len(used), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [_langs(used, names), pa.array(np.full(len(used), -1, dtype=np.int8)), *([zeros] * LONGEST),
-                     pa.array(totals[used].astype(np.int64)), pa.nulls(len(used), pa.string())],
-                    schema=RUN_SCHEMA,
-                )
-            # the text of each word id, once a task and language
-            new_at = []
-            row_code = code[words.rows] if len(ids) else ids
-            for c in np.unique(row_code).tolist():
-                mine = np.flatnonzero(row_code == c)
-                fresh, first = np.unique(ids[mine], return_index=True)
-                old = seen.get(c, np.zeros(0, dtype=np.int64))
-                unseen = ~np.isin(fresh, old, assume_unique=True)
-                seen[c] = np.union1d(old, fresh[unseen])
-                new_at.append(mine[first[unseen]])
-            new = np.concatenate(new_at) if new_at else np.zeros(0, dtype=np.int64)
-            if len(new):
-                names = {v: k for k, v in trie.langs.items()}
-                zeros = pa.array(np.zeros(len(new), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _langs(row_code[new], names),
-                        pa.array(np.zeros(len(new), dtype=np.int8)),
-                        pa.array(ids[new]),
-                        *([zeros] * (LONGEST - 1)),
-                        zeros,
-                        _spelled(words, new),
-                    ],
-                    schema=RUN_SCHEMA,
-                )
-    yield from trie.spill_all()
-
-
-def counted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Occurrences of every phrase of one to four words, per language, and the words' texts.
-
-    Rows with ``n`` 0 name a word id: ``w1`` and its text ``word``; rows with ``n`` -1 hold a
-    language's number of words in ``f``; the others count phrases.
+def _slots(langs: np.ndarray, ids: list[np.ndarray], bits: int) -> np.ndarray:
+    """Places in a bit table of phrases, given by their languages' checksums and their word ids."""
+    total = langs.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for word in ids:
+            total = mixed(total * np.uint64(0xD6E8FEB86659FD93) + word.view(np.uint64))
+    return (total >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _checksum(lang: str) -> int:
+    return zlib.crc32(lang.encode())
+
+
+def _bit_table(phrases: DataFrame, n: int) -> tuple[Broadcast, int]:
+    """Bits of the phrases of ``n`` words: 4 KB a row, ``2 ** (bits - 15)`` rows at most."""
+    bits = int(np.clip(np.ceil(np.log2(max(1, phrases.count()) * BITS_PER_PHRASE)), 16, MOST_BITS))
+
+    def slots(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            langs = np.array([_checksum(x) for x in part.column("lang").to_pylist()], dtype=np.uint64)
+            ids = [np.asarray(part.column(w)).astype(np.int64) for w in WORDS[:n]]
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(langs, ids, bits))], names=["bit"])
+
+    rows = (
+        phrases.select("lang", *WORDS[:n])
+        .mapInArrow(slots, "bit bigint")
+        .groupBy((F.col("bit") / 32768).cast("bigint").alias("block"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bitmap"))
+        .collect()
+    )
+    table = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for row in rows:
+        table[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bitmap"], dtype=np.uint8)
+    return phrases.sparkSession.sparkContext.broadcast(table), bits
+
+
+def _may_be_frequent(words: PieceWords, n: int, langs: np.ndarray, table: tuple[Broadcast, int]) -> np.ndarray:
+    """Whether the phrase of ``n`` words at each place may be in the table; one place more than words."""
+    held, bits = table
+    at, ids = words.phrases(n), words.hashes.view(np.int64)
+    slots = _slots(langs[words.rows[at]], [ids[at + k] for k in range(n)], bits)
+    found = np.zeros(len(words.starts) + 1, dtype=bool)
+    found[at] = (held.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
+    return found
+
+
+def _count_runs(sizes: tuple[int, ...], tables: dict[int, tuple[Broadcast, int]], names_too: bool) -> Callable:
+    """Counting of the phrases of ``sizes`` words that the table of the longest shorter ones lets through.
+
+    Without a table all are counted, and each language's words. ``names_too`` adds the texts of
+    the words that the table of words has.
     """
-    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    runs = rows.mapInArrow(_count_runs, "lang string, n byte, w1 long, w2 long, w3 long, w4 long, count long, word string")
-    merged = runs.groupBy("lang", "n", *WORDS).agg(F.sum("count").alias("f"), F.min("word").alias("word"), F.max("word").alias("other"))
+    part = max(tables, default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = PhraseTrie()
+        seen: dict[int, np.ndarray] = {}  # word ids whose text is out, sorted, per language
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            data, offsets = utf8(batch.column("text"))
+            for low, high in row_ranges(offsets, STRETCH):
+                base = offsets[low]
+                words = PieceWords(data[base : offsets[high]], offsets[low : high + 1] - base)
+                of_rows = [x or "und" for x in langs[low:high]]
+                code = np.array([trie.langs.setdefault(x, len(trie.langs)) for x in of_rows], dtype=np.int64)
+                checksums = np.array([_checksum(x) for x in of_rows], dtype=np.uint64)
+                ids = words.hashes.view(np.int64)
+                usable = {n: _may_be_frequent(words, n, checksums, table) for n, table in tables.items()}
+                parts = []
+                for n in sizes:
+                    at = words.phrases(n)
+                    if part:
+                        let_through = np.ones(len(at), dtype=bool)
+                        for k in range(n - part + 1):
+                            let_through &= usable[part][at + k]
+                        at = at[let_through]
+                    key = np.zeros((len(at), 2 + LONGEST), dtype=np.int64)
+                    key[:, 0] = code[words.rows[at]] if len(at) else 0
+                    key[:, 1] = n
+                    for k in range(n):
+                        key[:, 2 + k] = ids[at + k]
+                    parts.append(key)
+                keys = np.concatenate(parts)
+                if len(keys):
+                    yield from trie.add(keys, np.ones(len(keys), dtype=np.int64))
+                names = {v: k for k, v in trie.langs.items()}
+                if not part:
+                    # words of each language, as phrase length -1
+                    totals = np.bincount(code[words.rows], minlength=len(trie.langs)) if len(words.rows) else np.zeros(0, dtype=np.int64)
+                    used = np.flatnonzero(totals)
+                    if len(used):
+                        yield _rows(used, -1, np.zeros(len(used), dtype=np.int64), totals[used], pa.nulls(len(used), pa.string()), names)
+                if names_too:
+                    # the text of each word id, once a task and language
+                    new_at = []
+                    wanted = np.flatnonzero(usable[1][: len(ids)])
+                    row_code = code[words.rows] if len(ids) else ids
+                    for c in np.unique(row_code[wanted]).tolist():
+                        mine = wanted[row_code[wanted] == c]
+                        fresh, first = np.unique(ids[mine], return_index=True)
+                        old = seen.get(c, np.zeros(0, dtype=np.int64))
+                        unseen = ~np.isin(fresh, old, assume_unique=True)
+                        seen[c] = np.union1d(old, fresh[unseen])
+                        new_at.append(mine[first[unseen]])
+                    new = np.concatenate(new_at) if new_at else np.zeros(0, dtype=np.int64)
+                    if len(new):
+                        yield _rows(row_code[new], 0, ids[new], np.zeros(len(new), dtype=np.int64), _spelled(words, new), names)
+        yield from trie.spill_all()
+
+    return run
+
+
+def _rows(codes: np.ndarray, n: int, ids: np.ndarray, counts: np.ndarray, words: pa.Array, names: dict[int, str]) -> pa.RecordBatch:
+    """Rows that are no phrases: of length ``n``, with one id, a count and a text each."""
+    zeros = pa.array(np.zeros(len(codes), dtype=np.int64))
+    return pa.RecordBatch.from_arrays(
+        [_langs(codes, names), pa.array(np.full(len(codes), n, dtype=np.int8)), pa.array(ids), *([zeros] * (LONGEST - 1)),
+         pa.array(counts.astype(np.int64)), words],
+        schema=RUN_SCHEMA,
+    )
+
+
+def _pass(rows: DataFrame, sizes: tuple[int, ...], tables: dict[int, tuple[Broadcast, int]], names_too: bool = False) -> DataFrame:
+    """One pass over the texts: the summed runs of all tasks."""
+    runs = rows.mapInArrow(_count_runs(sizes, tables, names_too), "lang string, n byte, w1 long, w2 long, w3 long, w4 long, count long, word string")
+    grouped, total = runs.groupBy("lang", "n", *WORDS), F.sum("count").alias("f")
+    if not names_too:
+        return grouped.agg(total).withColumn("word", F.lit(None).cast("string"))
+    merged = grouped.agg(total, F.min("word").alias("word"), F.max("word").alias("other"))
     clash = F.raise_error(F.concat(F.lit("two words share an id: "), F.col("word"), F.lit(" / "), F.col("other")))
     return merged.select("lang", "n", *WORDS, "f", F.when(F.col("word") == F.col("other"), F.col("word")).when(F.col("n") == 0, clash).alias("word"))
 
 
+def counted(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = MIN_COUNT) -> DataFrame:
+    """Occurrences of every phrase of one to four words that has ``least``, per language, and words' texts.
+
+    Rows with ``n`` 0 name the id of a frequent word: ``w1`` and its text ``word``; rows with ``n`` -1 hold
+    a language's number of words in ``f``; the others count phrases. Each pass is written
+    once: what later steps read of the counts.
+    """
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    kept = (F.col("n") <= 0) | (F.col("f") >= least)
+    words = stored(_pass(rows, (1,), {}).where(kept), "phrase-words")
+    tables = {1: _bit_table(words.where("n = 1"), 1)}
+    pairs = stored(_pass(rows, (2,), tables).where(kept), "phrase-pairs")
+    tables = {**tables, 2: _bit_table(pairs, 2)}
+    longer = stored(_pass(rows, tuple(range(3, LONGEST + 1)), tables, names_too=True).where(kept), "phrase-counts")
+    return words.unionByName(pairs).unionByName(longer)
+
+
 def _key(n: Column, words: list[Column]) -> list[Column]:
     """A phrase's key columns; words beyond ``n`` are zero."""
     return [n.cast("byte").alias("n"), *(F.when(n > k, w).otherwise(F.lit(0)).cast("long").alias(f"w{k + 1}") for k, w in enumerate(words))]
@@ -324,9 +409,7 @@ def _first_of(rows: DataFrame, top: int, *order: Column) -> DataFrame:
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP, least: int = MIN_COUNT) -> DataFrame:
     """The first ``top`` collocations per language: lang, rank, phrase, a, l, r, n, score."""
-    counts = counted(docs, text, lang)
-    # written once: what later steps read of the counts, so that the texts are scanned once
-    counts = stored(counts.where((F.col("n") <= 0) | (F.col("f") >= least)), "phrase-counts")
+    counts = counted(docs, text, lang, least)
     totals = counts.where(F.col("n") == -1).select("lang", F.col("f").alias("total"))
     frequent = counts.where((F.col("n") >= 1) & (F.col("f") >= least)).select("lang", "n", *WORDS, "f")
     names = counts.where(F.col("n") == 0).select("lang", F.col("w1").alias("id"), "word")

@@ -54,3 +54,27 @@ def test_collocations_against_plain_python(spark):
 
 def test_no_rows(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA), least=2).count() == 0
+
+
+def test_only_phrases_of_frequent_parts_are_counted(spark):
+    rare = " ".join(f"r{i}" for i in range(300))
+    rows = [(i, t, "en", None, None, None) for i, t in enumerate(["new york city hall"] * 4 + ["new york bay", rare, "york r1 new york"])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    counts = phrases.counted(docs, least=4).collect()
+    assert sorted((r.n, r.f) for r in counts if r.n != 0) == [(-1, 323), (1, 4), (1, 4), (1, 6), (1, 7), (2, 4), (2, 4), (2, 6), (3, 4), (3, 4), (4, 4)]
+    assert sorted(r.word for r in counts if r.n == 0) == ["city", "hall", "new", "york"]
+    # what a task sends: none of the 300 pairs of rare words
+    words = spark.createDataFrame([r for r in counts if r.n == 1], "lang string, n byte, w1 long, w2 long, w3 long, w4 long, f long, word string")
+    run = phrases._count_runs((2,), {1: phrases._bit_table(words, 1)}, False)
+    sent = docs.select("text", "lang").coalesce(1).mapInArrow(run, "lang string, n byte, w1 long, w2 long, w3 long, w4 long, count long, word string")
+    assert sent.count() < 30
+
+
+def test_a_full_bit_table_changes_no_result(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "MOST_BITS", 16)
+    monkeypatch.setattr(phrases, "BITS_PER_PHRASE", 1)
+    rows = [(i, t, ["en", None][i % 2], "x", 1, 0.5) for i, t in enumerate(TEXTS * 3)]
+    # every place of the table may be taken: all is counted, and the same comes out
+    rows += [(1000 + i, " ".join(f"w{j}" for j in range(i, i + 40)), "en", None, None, None) for i in range(0, 400, 20)]
+    got = phrases.collocations(spark.createDataFrame(rows, SCHEMA), top=50, least=2).collect()
+    assert [tuple(r) for r in sorted(got, key=lambda r: (r.lang, r.rank))] == brute(rows, 2, 50)
