@@ -146,6 +146,12 @@ class Container:
             child = self.children.setdefault(int(part[low]), Container(self.depth + 1))
             child.add(keys[low:high], counts[low:high])
 
+    def settle(self) -> None:
+        """Sum what is pending in the whole subtree."""
+        for child in [] if self.children is None else self.children.values():
+            child.settle()
+        self.compact()
+
     def size(self) -> int:
         if self.children is not None:
             return sum(c.size() for c in self.children.values())
@@ -214,6 +220,8 @@ class PhraseTrie:
             self.roots.setdefault(key, Container(1)).add(keys[low:high], counts[low:high])
         self.held += len(keys)
         if self.held > BUDGET:
+            for container in self.roots.values():
+                container.settle()
             sizes = {k: c.size() for k, c in self.roots.items()}
             self.held = sum(sizes.values())
             while self.held > BUDGET // 2:
@@ -369,9 +377,11 @@ def _rows(codes: np.ndarray, n: int, ids: np.ndarray, counts: np.ndarray, words:
 def _pass(rows: DataFrame, sizes: tuple[int, ...], tables: dict[int, tuple[Broadcast, int]], names_too: bool = False) -> DataFrame:
     """One pass over the texts: the summed runs of all tasks."""
     runs = rows.mapInArrow(_count_runs(sizes, tables, names_too), "lang string, n byte, w1 long, w2 long, w3 long, w4 long, count long, word string")
-    grouped, total = runs.groupBy("lang", "n", *WORDS), F.sum("count").alias("f")
+    used, total = max(sizes), F.sum("count").alias("f")
+    grouped = runs.groupBy("lang", "n", *WORDS[:used])  # words beyond the longest phrase are zero
     if not names_too:
-        return grouped.agg(total).withColumn("word", F.lit(None).cast("string"))
+        rest = [F.lit(0).cast("long").alias(w) for w in WORDS[used:]]
+        return grouped.agg(total).select("lang", "n", *WORDS[:used], *rest, "f", F.lit(None).cast("string").alias("word"))
     merged = grouped.agg(total, F.min("word").alias("word"), F.max("word").alias("other"))
     clash = F.raise_error(F.concat(F.lit("two words share an id: "), F.col("word"), F.lit(" / "), F.col("other")))
     return merged.select("lang", "n", *WORDS, "f", F.when(F.col("word") == F.col("other"), F.col("word")).when(F.col("n") == 0, clash).alias("word"))
