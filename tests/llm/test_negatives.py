@@ -82,3 +82,80 @@ def test_coordinate_ranges_keep_every_row_above_the_threshold():
                 continue
             found = bucket.candidates(q, float(np.sqrt((q.astype(float) ** 2).sum())), float(least))
             assert set(np.flatnonzero(scores >= least)) <= set(found.tolist())
+
+
+def test_ranges_and_broadcasts_do_not_grow_with_the_buckets(spark, small, monkeypatch):
+    ranges, frame = [], type(spark.range(1))
+    was = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *c: (ranges.append((self.columns, n)), was(self, n, *c))[1])
+    monkeypatch.setattr(negatives, "BUCKET", 4)
+    monkeypatch.setattr(negatives, "FEW", 5, raising=False)
+    rnd = random.Random(11)
+    rows = [(i, [rnd.uniform(-0.6, 0.6) for _ in range(4)], rnd.randrange(3), "x", 1.0) for i in range(400)]
+    got = negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA))
+    # Spark samples keys of every range for the driver: 100 buckets need no more than five ranges
+    assert [n for columns, n in ranges if "norm" in columns] == [5]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
+
+
+def block_of(np, rids, vecs, labels, positives=None):
+    n = len(rids)
+    wide = lambda k: np.array([[k(x) for x in (positives[i] if positives else [])] + [negatives.LAST] * (5 - len(positives[i] if positives else [])) for i in range(n)], dtype=np.int64)
+    of = lambda x: np.asarray(x, dtype=np.int64).tobytes()
+    norms = np.sqrt((vecs.astype(float) ** 2).sum(axis=1))
+    row = {"a_rids": of(rids), "a_vec_ids": of(rids), "a_labels": of(labels), "a_norms": norms.tobytes(), "a_bytes": 8, "a_vecs": of(vecs)}
+    row |= {"p_rids": of(wide(lambda x: x[1])), "p_ids": of(wide(lambda x: x[1])), "p_nulls": np.zeros((n, 5), dtype=bool).tobytes(), "p_scores": of(wide(lambda x: x[0]))}
+    return negatives.Block(row, 2 if positives else 1)
+
+
+@pytest.mark.parametrize("scale, narrow", [(100, 1 / 8), (100, 0.0), (100, 2.0), (3000, 1 / 8), (60_000_000, 1 / 8)])
+def test_block_finds_the_first_rows_by_scan_and_by_ranges(monkeypatch, scale, narrow):
+    """Copies, ties, null ids, shorter vectors; sums in single and double precision and in integers."""
+    import numpy as np
+
+    monkeypatch.setattr(negatives, "NARROW", narrow)
+    monkeypatch.setattr(negatives, "SEED", 4)
+    monkeypatch.setattr(negatives, "TILE", 7)
+    monkeypatch.setattr(negatives, "PAIRS", 50)
+    rnd = np.random.default_rng(scale)
+    n, width = 600, 6
+    vecs = rnd.integers(-scale, scale, size=(n, width))
+    vecs[100:300] = vecs[rnd.integers(0, 10, 200)] + rnd.integers(-1, 2, size=(200, width))  # near copies
+    vecs[300:340] = vecs[0]  # copies: ties
+    vecs[400:500, 4:] = 0
+    vecs[500:505] = 0
+    labels, ids = rnd.integers(0, 3, n), rnd.permutation(n)
+    null = rnd.random(n) < 0.1
+    order = np.argsort(-np.sqrt((vecs.astype(float) ** 2).sum(axis=1)), kind="stable")
+    norms = np.sqrt((vecs.astype(float) ** 2).sum(axis=1))
+    buckets = []
+    for a in range(0, n, 90):
+        own = order[a : a + 90]
+        short = 4 if not vecs[own][:, 4:].any() else width
+        buckets.append(negatives.Bucket(own.tolist(), [None if null[i] else int(ids[i]) for i in own], labels[own].tolist(), norms[own].tolist(), vecs[own][:, :short].tolist(), short))
+    anchors = np.r_[0:20, 300:310, 400:410, 500:503]
+    dot = [[sum(int(x) * int(y) for x, y in zip(vecs[i], v)) for v in vecs] for i in anchors]
+    key = lambda i, j: (-dot[i][j], bool(null[j]), 0 if null[j] else int(ids[j]), int(j))
+
+    first = block_of(np, anchors, vecs[anchors], labels[anchors])
+    for b in buckets:
+        first.meet(b)
+    best = [sorted((j for j in range(n) if labels[j] == labels[a] and j != a), key=lambda j: key(i, j))[:5] for i, a in enumerate(anchors)]
+    assert first.best.fields[3].tolist() == best
+    assert first.best.fields[0].tolist() == [[dot[i][j] for j in own] for i, own in enumerate(best)]
+
+    positives = [[(dot[i][j], j) for j in own] for i, own in enumerate(best)]
+    positives[0] = positives[0][:2]
+    second = block_of(np, anchors, vecs[anchors], labels[anchors], positives)
+    for b in buckets:
+        second.meet(b)
+    got = second.best.fields[3].reshape(len(anchors), 5, 10)
+    for i, a in enumerate(anchors):
+        for p in range(5):
+            want = []
+            if p < len(positives[i]):
+                ps = positives[i][p][0]
+                want = sorted((j for j in range(n) if labels[j] != labels[a] and 30 * ps <= 100 * dot[i][j] <= 90 * ps), key=lambda j: key(i, j))[:10]
+            assert [j for j in got[i, p].tolist() if j != negatives.LAST] == want
