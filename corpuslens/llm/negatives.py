@@ -260,13 +260,13 @@ class Block:
         tens, ones = np.divmod(np.where(some, self.p_scores, 0), 100)
         self.low, self.high = np.where(some, LOW * tens - (-LOW * ones) // 100, 1), np.where(some, HIGH * tens + (HIGH * ones) // 100, 0)
 
-    def bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By anchor: least and greatest score that is of use, and whether any is."""
+    def bounds(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest score that is of use to these anchors; ``LAST`` as least where none is."""
         if self.phase == 1:
-            return self.best.least(), np.full(len(self.rids), LAST), np.ones(len(self.rids), dtype=bool)
-        low, some = np.maximum(self.low, self.best.least().reshape(self.low.shape)), self.low <= self.high
-        some &= low <= self.high
-        return np.where(some, low, LAST).min(axis=1), np.where(some, self.high, LEAST).max(axis=1), some.any(axis=1)
+            return self.best.least()[at], np.full(len(at), LAST)
+        low, high = np.maximum(self.low[at], self.best.least().reshape(self.low.shape)[at]), self.high[at]
+        some = low <= high
+        return np.where(some, low, LAST).min(axis=1), np.where(some, high, LEAST).max(axis=1)
 
     def offer(self, bucket: Bucket, at: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
         same = bucket.labels[rows] == self.labels[at]
@@ -275,9 +275,8 @@ class Block:
             self.best.offer(at[same], scores[same], bucket, rows[same])
             return
         at, rows, scores = at[~same], rows[~same], scores[~same]
-        for p in range(POSITIVES):
-            fits = (self.low[at, p] <= scores) & (scores <= self.high[at, p])
-            self.best.offer(at[fits] * POSITIVES + p, scores[fits], bucket, rows[fits])
+        k, p = np.nonzero((self.low[at] <= scores[:, None]) & (scores[:, None] <= self.high[at]))
+        self.best.offer(at[k] * POSITIVES + p, scores[k], bucket, rows[k])
 
     def meet(self, bucket: Bucket) -> None:
         anchors = self.anchors
@@ -291,7 +290,8 @@ class Block:
         kind = np.float32 if largest < SINGLE else np.float64 if largest < EXACT else np.int64
         q, p = anchors.vecs.astype(kind), bucket.vecs.astype(kind)
 
-        least, _, some = self.bounds()
+        least, _ = self.bounds(np.arange(len(self.rids)))
+        some = least != LAST
         some &= (least <= 0) | (anchors.norms * bucket.longest >= least * (1 - 1e-12))
         ask = np.flatnonzero(some & (least > 0) & (anchors.norms > 0))
         if len(ask):
@@ -315,20 +315,19 @@ class Block:
         for own, rows in groups:
             for i in range(0, len(own), TILE):
                 part = own[i : i + TILE]
-                short = (self.bounds()[0][part] if self.phase == 1 else self.best.least().reshape(len(self.rids), -1)[part].min(axis=1)) == LEAST
-                cuts = [0, SEED, 8 * SEED, len(rows)] if short.any() else [0, len(rows)]
+                short = self.best.least().reshape(len(self.rids), -1)[part].min() == LEAST
+                cuts = [0, SEED, 8 * SEED, len(rows)] if short else [0, len(rows)]
                 for a, b in zip(cuts, cuts[1:]):
-                    if a >= min(b, len(rows)):
+                    own_rows = rows[a:b]
+                    if not len(own_rows):
                         continue
-                    least, most, some = self.bounds()
-                    scores = q[part] @ p[rows[a:b]].T
-                    found = scores >= least[part].astype(q.dtype)[:, None]
-                    if self.phase == 2:
-                        found &= scores <= most[part].astype(q.dtype)[:, None]
-                        found &= some[part][:, None]
-                    k, r = np.nonzero(found)
-                    if len(k):
-                        self.offer(bucket, part[k], rows[a:b][r], scores[k, r].astype(np.int64))
+                    least, most = self.bounds(part)
+                    scores = q[part] @ (p if len(own_rows) == len(p) else p[own_rows]).T
+                    found = np.flatnonzero(scores >= least.astype(q.dtype)[:, None])
+                    k, r = np.divmod(found, len(own_rows))
+                    scores = scores.ravel()[found].astype(np.int64)
+                    use = scores <= most[k]
+                    self.offer(bucket, part[k[use]], own_rows[r[use]], scores[use])
 
     def found(self) -> pa.RecordBatch:
         score, null, vec, rid = self.best.fields
